@@ -5,59 +5,71 @@ of the data. The helpers here cut every key into slices of its order, work insid
 cross a slice border through a table that has one row per (key, slice):
 
 * ``running_total`` / ``with_ordinal``: prefix sums and row numbers per key.
-* ``sliced``: copies of the border rows, so that a bounded frame sees all its rows inside one slice.
+* ``sliced`` / ``row_frames``: copies of the border rows, so that a bounded frame sees all its rows in one slice.
 * ``carry``: last known (or next known) values from earlier (or later) slices, for fills of any length.
+
+Key and slice travel as one struct column: structs compare null-safe, and group, window and join then share a single
+hash partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Cols = Sequence[str]
+FIRST = -(2**40)  # slice of rows without an order value: before all others
 
 
 def micros(col) -> Column:
     return F.unix_micros(F.col(col) if isinstance(col, str) else col)
 
 
-def day_slice(col) -> Column:
-    """Slice by calendar day, as a number of days; nulls first."""
-    return F.coalesce(F.unix_date(F.to_date(col)), F.lit(-(2**31)))
+_SECONDS = {"minute": 60, "hour": 3600, "day": 86400, "month": 30 * 86400, "year": 365 * 86400}
+
+
+def time_slices(col: str, *units: str) -> list[Column]:
+    """Slices of a timestamp column by span, coarse first. Raw readings want a fine last unit, resampled ones do not."""
+    return [F.coalesce(F.floor(F.unix_seconds(F.col(col)) / _SECONDS[u]).cast("long"), F.lit(FIRST)) for u in units]
 
 
-def hash_slice(col, digits: int = 3) -> Column:
+def hash_slice(col: str, digits: int = 3) -> Column:
     """Slice by the leading digits of an md5 text: 16**digits even slices."""
-    return F.substring(col, 1, digits)
+    return F.coalesce(F.substring(col, 1, digits), F.lit(""))
+
+
+def magnitude_slices(col: str) -> list[Column]:
+    """Slices of a number by sign and binary magnitude: they follow any scale without looking at the data first."""
+    x = F.col(col).cast("double")
+    size = F.log2(F.abs(x)) + 1100
+    level = lambda k: F.coalesce(
+        F.when(x == 0, F.lit(0)).otherwise((F.signum(x) * F.floor(size * k))).cast("long"), F.lit(FIRST)
+    )
+    return [level(32), level(8192)]
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, on: Cols, how: str = "left", pick: Cols | None = None) -> DataFrame:
-    """Equi-join on ``on`` in which null keys match each other; keeps the left keys and ``pick`` from the right."""
-    l, r = left.alias("l"), right.alias("r")
-    cond = reduce(lambda a, b: a & b, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in on])
-    pick = [c for c in right.columns if c not in on] if pick is None else pick
-    return l.join(r, cond, how).select("l.*", *[F.col(f"r.`{c}`") for c in pick])
+def _group(keys: Cols, slices: Cols) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in [*keys, *slices]])
 
 
 def _window(parts: Cols):
-    return Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
+    return Window.partitionBy(_group(parts, [])) if parts else Window.partitionBy(F.lit(0))
 
 
-def _slice_starts(per_slice: DataFrame, keys: list[str], slices: list[str], name: str) -> DataFrame:
-    """Exclusive prefix sum of ``name`` over slices, level by level, so that no level numbers more rows than it has slices."""
+def _starts(per_slice: DataFrame, keys: list[str], slices: list[str]) -> DataFrame:
+    """Exclusive prefix sum of ``_total`` over slices, level by level: a level only numbers the slices of one parent."""
     parents = keys + slices[:-1]
     w = _window(parents).orderBy(slices[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    inner = per_slice.withColumn("_before", F.coalesce(F.sum(name).over(w), F.lit(0)))
+    inner = per_slice.withColumn("_before", F.coalesce(F.sum("_total").over(w), F.lit(0)))
     if len(slices) == 1:
-        return inner.drop(name)
-    upper = per_slice.groupBy(*parents).agg(F.sum(name).alias(name))
-    upper = _slice_starts(upper, keys, slices[:-1], name).withColumnRenamed("_before", "_upper")
+        return inner
+    upper = per_slice.groupBy(*parents).agg(F.sum("_total").alias("_total"))
+    upper = _starts(upper, keys, slices[:-1]).select(_group(parents, []).alias("_parent"), F.col("_before").alias("_upper"))
     return (
-        join_null_safe(inner, upper, parents, "inner", ["_upper"])
+        inner.withColumn("_parent", _group(parents, []))
+        .join(upper, "_parent")
         .withColumn("_before", F.col("_before") + F.col("_upper"))
-        .drop("_upper", name)
     )
 
 
@@ -66,32 +78,35 @@ def running_total(
     keys: Cols,
     order: Sequence[str | Column],
     slices: Sequence[Column],
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Sum of ``value`` over all rows of the key up to this one in ``order``.
+    """Add columns: the sum of each value over all rows of the key up to this one in ``order``.
 
-    ``slices`` are columns that never decrease along ``order`` (coarse first). Ties in ``order`` are the caller's duty.
+    ``slices`` never decrease along ``order`` (coarse first) and are not null. The order has to be total.
     """
     keys = list(keys)
     names = [f"_slice{i}" for i in range(len(slices))]
-    cut = df.withColumns({**dict(zip(names, slices)), "_value": value})
-    per_slice = cut.groupBy(*keys, *names).agg(F.sum("_value").alias("_total"))
-    starts = _slice_starts(per_slice, keys, names, "_total")
+    inputs = {f"_value{i}": v for i, v in enumerate(values.values())}
+    cut = df.withColumns({**dict(zip(names, slices)), **inputs}).withColumn("_g", _group(keys, names))
+    sums = cut.groupBy("_g").agg(*[F.sum(v).alias(v) for v in inputs])
+    starts = None
+    for v in inputs:
+        one = sums.select("_g.*", F.col(v).alias("_total"))
+        one = _starts(one, keys, names).select(_group(keys, names).alias("_g"), F.col("_before").alias(f"_start{v}"))
+        starts = one if starts is None else starts.join(one, "_g")
     end = 0 if inclusive else -1
-    w = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    inside = cut.withColumn("_inside", F.coalesce(F.sum("_value").over(w), F.lit(0)))
-    return (
-        join_null_safe(inside, starts, keys + names, "inner", ["_before"])
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop(*names, "_value", "_inside", "_before")
+    w = Window.partitionBy("_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inside = cut.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_inside{v}") for v in inputs])
+    out = inside.join(starts, "_g").withColumns(
+        {name: F.col(f"_start{v}") + F.col(f"_inside{v}") for name, v in zip(values, inputs)}
     )
+    return out.drop("_g", *names, *inputs, *[f"_inside{v}" for v in inputs], *[f"_start{v}" for v in inputs])
 
 
 def with_ordinal(df: DataFrame, keys: Cols, order, slices, name: str = "pos") -> DataFrame:
     """Row number per key, from 1."""
-    return running_total(df, keys, order, slices, F.lit(1).cast("long"), name)
+    return running_total(df, keys, order, slices, {name: F.lit(1).cast("long")})
 
 
 def sliced(df: DataFrame, pos: Column, length: int, before: int = 0, after: int = 0) -> DataFrame:
@@ -102,12 +117,10 @@ def sliced(df: DataFrame, pos: Column, length: int, before: int = 0, after: int
     """
     length = max(int(length), 2 * (before + after), 1)
     at = lambda c: F.floor(c / F.lit(length)).cast("long")
-    home = at(pos)
-    first, last = at(pos - F.lit(after)), at(pos + F.lit(before))
     if before == 0 and after == 0:
-        return df.withColumns({"_slice": home, "_own": F.lit(True)})
+        return df.withColumns({"_slice": at(pos), "_own": F.lit(True)})
     return (
-        df.withColumns({"_home": home, "_slice": F.explode(F.sequence(first, last))})
+        df.withColumns({"_home": at(pos), "_slice": F.explode(F.sequence(at(pos - F.lit(after)), at(pos + F.lit(before))))})
         .withColumn("_own", F.col("_home") == F.col("_slice"))
         .drop("_home")
     )
@@ -117,24 +130,32 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_slice")
 
 
+def row_frames(df: DataFrame, keys: Cols, order, slices, before: int = 0, after: int = 0, length: int = 20_000):
+    """Frame with ``pos`` and border copies, and the window to use on it (finish with ``own_rows``)."""
+    frame = sliced(with_ordinal(df, keys, order, slices), F.col("pos"), length, before, after)
+    return frame, Window.partitionBy(*keys, "_slice").orderBy("pos")
+
+
 def carry(df: DataFrame, keys: Cols, order: str, slice_col: Column, cols: Cols, ahead: bool = False) -> DataFrame:
-    """Add ``_near_{c}``: struct(at, value) of the closest non-null ``c`` at or before (``ahead``: at or after) the row."""
+    """Add ``_prev_{c}`` (and ``_next_{c}`` with ``ahead``): struct(at, value) of the closest known ``c``, row included."""
     keys = list(keys)
     pack = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), F.col(c).alias("value")))
-    cut = df.withColumn("_cut", slice_col)
-    # one row per (key, slice): the edge value each slice hands on
-    pick = F.min if ahead else F.max
-    edges = cut.groupBy(*keys, "_cut").agg(*[pick(pack(c)).alias(f"_edge_{c}") for c in cols])
+    cut = df.withColumn("_cut", slice_col).withColumn("_g", _group(keys, ["_cut"]))
+    edges = cut.groupBy("_g").agg(
+        *[F.max(pack(c)).alias(f"_last_{c}") for c in cols], *([F.min(pack(c)).alias(f"_first_{c}") for c in cols] if ahead else [])
+    ).select("_g", "_g.*", *[f"_last_{c}" for c in cols], *([f"_first_{c}" for c in cols] if ahead else []))
+    outer = _window(keys).orderBy("_cut")
+    inner = Window.partitionBy("_g").orderBy(order)
+    back, front = outer.rowsBetween(Window.unboundedPreceding, -1), outer.rowsBetween(1, Window.unboundedFollowing)
+    up, down = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(0, Window.unboundedFollowing)
+    handed = [F.last(f"_last_{c}", ignorenulls=True).over(back).alias(f"_back_{c}") for c in cols]
+    inside = [F.last(pack(c), ignorenulls=True).over(up).alias(f"_up_{c}") for c in cols]
+    if ahead:
+        handed += [F.first(f"_first_{c}", ignorenulls=True).over(front).alias(f"_front_{c}") for c in cols]
+        inside += [F.first(pack(c), ignorenulls=True).over(down).alias(f"_down_{c}") for c in cols]
+    joined = cut.select("*", *inside).join(edges.select("_g", *handed), "_g")
+    new = {f"_prev_{c}": F.coalesce(f"_up_{c}", f"_back_{c}") for c in cols}
     if ahead:
-        outer = _window(keys).orderBy("_cut").rowsBetween(1, Window.unboundedFollowing)
-        inner = Window.partitionBy(*keys, "_cut").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-        near = lambda c, w: F.first(c, ignorenulls=True).over(w)
-    else:
-        outer = _window(keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-        inner = Window.partitionBy(*keys, "_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        near = lambda c, w: F.last(c, ignorenulls=True).over(w)
-    handed = edges.select(*keys, "_cut", *[near(F.col(f"_edge_{c}"), outer).alias(f"_handed_{c}") for c in cols])
-    inside = cut.select("*", *[near(pack(c), inner).alias(f"_inside_{c}") for c in cols])
-    joined = join_null_safe(inside, handed, keys + ["_cut"], "inner")
-    out = joined.withColumns({f"_near_{c}": F.coalesce(f"_inside_{c}", f"_handed_{c}") for c in cols})
-    return out.drop("_cut", *[f"_inside_{c}" for c in cols], *[f"_handed_{c}" for c in cols])
+        new |= {f"_next_{c}": F.coalesce(f"_down_{c}", f"_front_{c}") for c in cols}
+    gone = [f"_{k}_{c}" for c in cols for k in (("up", "back", "down", "front") if ahead else ("up", "back"))]
+    return joined.withColumns(new).drop("_g", "_cut", *gone)
