@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,8 +46,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, density: bool = True) ->
     span = known.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     idx = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / width))).otherwise(0)
-    # ``span`` is a single row
-    counted = known.crossJoin(F.broadcast(span)).groupBy(idx.cast("int").alias("bin")).agg(F.count("*").alias("count"))
+    placed = known.withColumn("_s", span.select(F.struct("lo", "hi")).scalar()).select("x", "_s.lo", "_s.hi")
+    counted = placed.groupBy(idx.cast("int").alias("bin")).agg(F.count("*").alias("count"))
     every = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = every.join(counted, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     height = F.col("count") / (F.col("n") * width) if density else F.col("count").cast("double")
@@ -56,6 +55,3 @@ def histogram(df: DataFrame, col: str, bins: int = 50, density: bool = True) ->
         "bin", (F.col("lo") + F.col("bin") * width).alias("left_edge"), "count", height.alias("height")
     )
 
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -123,7 +123,7 @@ def calendar_keys(df: DataFrame, date_col: str, hour_col: str) -> DataFrame:
     )
 
 
-RELATIVE_NAME = r"D(\d+)H(\d+)"
+RELATIVE_NAME = "D([0-9]+)H([0-9]+)"
 
 
 def decode_relative(df: DataFrame, name_col: str, ref, out: str = "datetime", legacy: bool = False) -> DataFrame:

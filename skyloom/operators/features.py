@@ -32,16 +32,16 @@ def last_months_30d(df: DataFrame, ts_col: str, months: int) -> DataFrame:
 
 
 def _since(df: DataFrame, ts_col: str, rule) -> DataFrame:
-    cutoff = df.agg(F.max(ts_col).alias("_top")).select(rule(F.col("_top")).alias("_cutoff"))  # one row
-    return df.crossJoin(F.broadcast(cutoff)).where(F.col(ts_col) >= F.col("_cutoff")).drop("_cutoff")
+    cutoff = df.agg(F.max(ts_col).alias("top")).select(rule(F.col("top")))
+    return df.where(F.col(ts_col) >= cutoff.scalar())
 
 
 def align_tail(df: DataFrame, key: str, ts_col: str, n_rows: int, slices=None) -> DataFrame:
     """Rows strictly before the earliest of the stations' last times, then the last ``n_rows`` of each station."""
     from skyloom.slicing import with_ordinal
 
-    end = df.groupBy(key).agg(F.max(ts_col).alias("_last")).agg(F.min("_last").alias("_end"))
-    cut = df.crossJoin(F.broadcast(end)).where(F.col(ts_col) < F.col("_end")).drop("_end")
+    end = df.groupBy(key).agg(F.max(ts_col).alias("last")).agg(F.min("last"))
+    cut = df.where(F.col(ts_col) < end.scalar())
     numbered = with_ordinal(cut, [key], [ts_col], slices or time_slices(ts_col, "month"))
     sizes = cut.groupBy(key).agg(F.count("*").alias("_n"))
     return numbered.join(sizes, key).where(F.col("pos") > F.col("_n") - n_rows).drop("_n", "pos")
@@ -388,8 +388,8 @@ def dependent_frame(
     if years_back is not None:
         cut = last_years(df, ts_col, years_back)
         if aux_frame is not None:
-            low = df.agg((F.max(ts_col) - F.make_ym_interval(F.lit(0), F.lit(int(years_back * 12)))).alias("_low"))
-            aux_frame = aux_frame.crossJoin(F.broadcast(low)).where(F.col(ts_col) >= F.col("_low")).drop("_low")
+            low = df.agg(F.max(ts_col) - F.make_ym_interval(F.lit(0), F.lit(int(years_back * 12))))
+            aux_frame = aux_frame.where(F.col(ts_col) >= low.scalar())
         df = cut
     n = lag_count(lookback_days, freq)
     stations = [str(s) for s in stations]

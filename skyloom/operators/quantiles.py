@@ -50,9 +50,9 @@ def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
 def quantile_bin(df: DataFrame, col: str, q: int, name: str = "bin") -> DataFrame:
     """Quantile class of every row, right-closed, the lowest edge included; 0 stays a class of its own (0)."""
     edges = quantile_edges(df, col, q).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("edge_no", "edge"))), lambda e: e["edge"]).alias("_edges")
-    )  # one row with q + 1 numbers
+        F.transform(F.array_sort(F.collect_list(F.struct("edge_no", "edge"))), lambda e: e["edge"])
+    )  # one array of q + 1 numbers
     x = F.col(col)
     above = F.size(F.filter(F.slice("_edges", 2, q), lambda e: e < x))
     cls = F.when(x == 0, 0).when((x >= F.col("_edges")[0]) & (x <= F.col("_edges")[q]), above + 1)
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, cls.cast("int")).drop("_edges")
+    return df.withColumn("_edges", edges.scalar()).withColumn(name, cls.cast("int")).drop("_edges")

@@ -268,13 +268,11 @@ def _roll(fn, w, col):
 
 @query("wn_03_rolling_history", f"""WITH {OBSD}, {DAILY}, r AS (SELECT datetime, {_roll('avg', 3, 'precip_sum')} AS a, {_roll('sum', 7, 'precip_sum')} AS b,
  {_roll('max', 7, 'temp_max')} AS c FROM daily)
-SELECT datetime, round(avg(a), 6) AS multistations_precip_sum_mean_3d, round(coalesce(sum(b), 0), 6) AS multistations_precip_sum_sum_7d,
- max(c) AS multistations_temp_max_max_7d FROM r GROUP BY 1""")
+SELECT datetime, round(avg(a), 6) AS aux_precip_sum_mean_3d, round(coalesce(sum(b), 0), 6) AS aux_precip_sum_sum_7d,
+ max(c) AS aux_temp_max_max_7d FROM r GROUP BY 1""")
 def rolling_history(t):
-    df, ids = daily(t), []
-    out = fe.rolling_history(df, {"precip_sum": ["mean", "sum"], "temp_max": ["max"]}, [3, 7], ids or ["", ""][:0], slices=time_slices("datetime", "year"))
-    names = {"precip_sum_mean_3d": 1, "precip_sum_sum_7d": 1, "temp_max_max_7d": 1}
-    return rounded(out.select("datetime", *[F.col(f"aux_{n}").alias(f"multistations_{n}") for n in names]))
+    out = fe.rolling_history(daily(t), {"precip_sum": ["mean", "sum"], "temp_max": ["max"]}, [3, 7], [], slices=time_slices("datetime", "year"))
+    return rounded(out.select("datetime", "aux_precip_sum_mean_3d", "aux_precip_sum_sum_7d", "aux_temp_max_max_7d"))
 
 
 @query("wn_03b_rolling_other", f"""WITH {OBSD}, {DAILY}, r AS (SELECT datetime, {_roll('stddev_samp', 5, 'precip_sum')} AS a FROM daily)

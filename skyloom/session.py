@@ -26,6 +26,7 @@ def local_session(cores: str = "8", app: str = "skyloom") -> SparkSession:
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

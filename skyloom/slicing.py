@@ -34,9 +34,9 @@ def time_slices(col: str, *units: str) -> list[Column]:
     return [F.coalesce(F.floor(F.unix_seconds(F.col(col)) / _SECONDS[u]).cast("long"), F.lit(FIRST)) for u in units]
 
 
-def hash_slice(col: str, digits: int = 3) -> Column:
-    """Slice by the leading digits of an md5 text: 16**digits even slices."""
-    return F.coalesce(F.substring(col, 1, digits), F.lit(""))
+def hash_slices(col: str) -> list[Column]:
+    """Even slices by the leading digits of an md5 text: 4,096, each cut into 4,096 more."""
+    return [F.coalesce(F.substring(col, 1, n), F.lit("")) for n in (3, 6)]
 
 
 def magnitude_slices(col: str) -> list[Column]:

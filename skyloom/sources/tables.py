@@ -84,11 +84,12 @@ class Tables:
                 comma(F.lit("01"), pad(tenth % 10000, 4), F.lit("9"), code)
             ).alias("AA1"),
             F.when(F.col("event_id") % 3 == 0, comma(F.lit("06"), pad((tenth * 3) % 10000, 4), F.lit("2"), code)).alias("AA2"),
-            comma(
-                F.lit("024"),
-                F.element_at(F.array(F.lit("M"), F.lit("N"), F.lit("X")), (F.col("event_id") % 3 + 1).cast("int")),
-                pad(tenth % 101, 3), F.lit("D"), code,
-            ).alias("RH1"),
+            *[
+                F.when(
+                    F.col("event_id") % 3 == rest, comma(F.lit("024"), F.lit(letter), pad(tenth % 101, 3), F.lit("D"), code)
+                ).alias(name)
+                for name, letter, rest in (("RH1", "X", 2), ("RH2", "N", 1), ("RH3", "M", 0))
+            ],
             comma(
                 F.when(F.col("event_id") % 29 == 0, F.lit("+9999")).otherwise(
                     F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("+")).otherwise(F.lit("-")), pad(tenth % 500, 4))
@@ -156,7 +157,8 @@ _T = "CAST(floor(value * 10) AS BIGINT)"
 RAWREC = f"""rawrec AS (SELECT CAST(user_id % 5 AS VARCHAR) AS STATION, ts AS DATE, event_id,
   CASE WHEN event_id % 13 = 0 THEN '' ELSE '01,' || lpad(CAST({_T} % 10000 AS VARCHAR), 4, '0') || ',9,' || {_CODE} END AS AA1,
   CASE WHEN event_id % 3 = 0 THEN '06,' || lpad(CAST(({_T} * 3) % 10000 AS VARCHAR), 4, '0') || ',2,' || {_CODE} END AS AA2,
-  '024,' || substr('MNX', CAST(event_id % 3 AS INTEGER) + 1, 1) || ',' || lpad(CAST({_T} % 101 AS VARCHAR), 3, '0') || ',D,' || {_CODE} AS RH1,
+  {', '.join(f"CASE WHEN event_id % 3 = {r} THEN '024,{l},' || lpad(CAST({_T} % 101 AS VARCHAR), 3, '0') || ',D,' || {_CODE} END AS {n}"
+             for n, l, r in (('RH1', 'X', 2), ('RH2', 'N', 1), ('RH3', 'M', 0)))},
   CASE WHEN event_id % 29 = 0 THEN '+9999' ELSE (CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END)
     || lpad(CAST({_T} % 500 AS VARCHAR), 4, '0') END || ',' || {_CODE} AS TMP,
   lpad(CAST(10000 + {_T} % 500 AS VARCHAR), 5, '0') || ',' || {_CODE} AS SLP,
