@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skyloom.functions import arrays as ar
 from skyloom.operators.reshape import seeded_hash
@@ -287,8 +287,6 @@ def rating_batches(items: DataFrame, item: str, methods: Sequence[str], size: in
     batched = shuffled.withColumn("batch", F.floor((F.col("_no") - 1) / size).cast("long"))
     rows = batched.select(item, "batch", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
     uid = F.md5(F.concat_ws("|", "method", F.col(item).cast("string"), F.lit(str(seed))))
-    from pyspark.sql import Window
-
     # a batch holds size * len(methods) rows
     return rows.withColumn("uid", uid).withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("uid")))
 
@@ -399,7 +397,7 @@ def frechet_distance(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
         return pd.DataFrame({"distance": [float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * trace)]})
 
     stats = _covariance(a, col, "a").unionByName(_covariance(b, col, "b"))  # 2 d (d + 1) numbers
-    return stats.groupBy(F.lit(1)).applyInPandas(distance, "distance double")
+    return stats.groupBy().applyInPandas(distance, "distance double")
 
 
 def two_proportions(p1: Column, n1: Column, p2: Column, n2: Column, z_limit: float = 1.96) -> Column:

@@ -119,7 +119,14 @@ def inverse_frequency(t):
     return rounded(rh.inverse_frequency(t.documents.select("doc_id", "lang"), "lang"), 8)
 
 
-@query("ag_17_balanced_sample")
+def _part(salt):
+    return f"CAST(('0x' || substr(md5(concat_ws('|', CAST(draw AS VARCHAR), '7-{salt}')), 1, 12)) AS BIGINT)"
+
+
+@query("ag_17_balanced_sample", f"""WITH z AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '7')), doc_id) AS no, count(*) OVER (PARTITION BY lang) AS size FROM documents),
+ c AS (SELECT lang, size, row_number() OVER (ORDER BY lang) - 1 AS c, count(*) OVER () AS k FROM (SELECT DISTINCT lang, size FROM z)),
+ w AS (SELECT draw, {_part('class')} % (SELECT max(k) FROM c) AS c, {_part('row')} AS r FROM generate_series(0, 4999) g(draw))
+SELECT w.draw, z.doc_id, z.lang FROM w JOIN c ON c.c = w.c JOIN z ON z.lang = c.lang AND z.no = w.r % c.size + 1""")
 def balanced(t):
     return rh.balanced_sample(t.documents.select("doc_id", "lang"), "lang", 5000, 7, ["doc_id"])
 
