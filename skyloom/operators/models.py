@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from skyloom.operators.quantiles import exact_quantiles
+from skyloom.session import cut_lineage
 from skyloom.slicing import own_rows, row_frames
 
 
@@ -45,15 +46,20 @@ def _merge_bins(pdf: pd.DataFrame, min_total: float, min_class: float, stop_limi
     if len(missing):
         rows.append([np.nan, float(missing["n"].sum()), float(missing["pos"].sum())])
     total = iv(rows)
-    out = [(pdf["var"].iloc[0], i, r[0], int(r[1]), int(r[2]), parts(r)[0], total) for i, r in enumerate(rows)]
-    return pd.DataFrame(out, columns=["var", "bin", "hi", "n", "pos", "woe", "iv"])
+    n_known = len(rows) - (1 if len(missing) else 0)
+    out = [
+        (pdf["var"].iloc[0], i, i >= n_known, None if i >= n_known - 1 else r[0], int(r[1]), int(r[2]), parts(r)[0], total)
+        for i, r in enumerate(rows)
+    ]
+    return pd.DataFrame(out, columns=["var", "bin", "is_missing", "hi", "n", "pos", "woe", "iv"]).astype({"hi": "float64"})
 
 
 def woe_fit(df: DataFrame, target: str, cols: Sequence[str], min_total: float = 0.05, min_class: float = 0.001,
             stop_limit: float = 0.1) -> DataFrame:
-    """Bins per variable: (var, bin, hi, n, pos, woe, iv), ``hi`` null for the bin of missing values.
+    """Bins per variable: (var, bin, is_missing, hi, n, pos, woe, iv); the last known bin is open above (``hi`` null).
 
     Start bins hold ``min_total`` of the rows each; only their counts (at most 1 / min_total per variable) are merged.
+    The fitted bins are stored, so that applying them does not fit again.
     """
     long = df.select(target, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([target], list(cols), "var", "x")
     steps = int(1 / min_total)
@@ -66,7 +72,8 @@ def woe_fit(df: DataFrame, target: str, cols: Sequence[str], min_total: float =
     )
     counts = binned.groupBy("var", "bin", hi.alias("hi")).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("pos"))
     merge = lambda pdf: _merge_bins(pdf, min_total, min_class, stop_limit)
-    return counts.groupBy("var").applyInPandas(merge, "var string, bin int, hi double, n long, pos long, woe double, iv double")
+    bins = counts.groupBy("var").applyInPandas(merge, "var string, bin int, is_missing boolean, hi double, n long, pos long, woe double, iv double")
+    return cut_lineage(bins)
 
 
 def woe_select(bins: DataFrame, cutoff: float = 0.4) -> DataFrame:
@@ -79,12 +86,11 @@ def woe_apply(df: DataFrame, bins: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = df
     for c in cols:
         own = bins.where(F.col("var") == c)
-        known = F.when(F.col("bin") >= 0, F.struct("bin", "hi", "woe"))
-        listed = own.agg(F.array_sort(F.collect_list(known))).scalar()
+        listed = own.agg(F.array_sort(F.collect_list(F.struct("bin", "is_missing", "hi", "woe")))).scalar()
         x = F.col(c).cast("double")
         missing = F.col(c).isNull() | F.isnan(x)
-        # the last known bin is open above; the bin of missing values has no upper edge and comes after it
-        fits = F.filter("_bins", lambda b: F.when(missing, b["hi"].isNull() | F.isnan(b["hi"])).otherwise(b["hi"].isNull() | (x <= b["hi"])))
+        inside = lambda b: ~b["is_missing"] & (b["hi"].isNull() | (x <= b["hi"]))
+        fits = F.filter("_bins", lambda b: F.when(missing, b["is_missing"]).otherwise(inside(b)))
         out = out.withColumn("_bins", listed).withColumn(f"{c}_woe", F.get(fits, F.lit(0))["woe"]).drop("_bins")
     return out
 
