@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.functions.arrays import pad_right
 from skyloom.operators.reshape import seeded_hash
+from skyloom.session import cut_lineage
 from skyloom.slicing import hash_slices, magnitude_slices, running_total, with_ordinal
 
 # fixed values: every white-space character, as one regular-expression class
@@ -16,31 +17,40 @@ BROADCAST_TOKENS = 200_000  # rows of a vocabulary that may be sent to every exe
 HEAD_TOKENS = 10_000  # most frequent tokens of a larger vocabulary that are sent to every executor
 
 
-def tokenize(col, mode: str = "word", lower: bool = False, delimiter: str | None = None) -> Column:
-    """Token array of a text: white-space words, a delimiter's parts, single characters, or list expressions.
-
-    ``expr`` turns ``]`` into ``X``, drops parentheses and splits at white space.
-    """
+def _pieces(col, mode: str, lower: bool, delimiter: str | None) -> Column:
     x = F.col(col) if isinstance(col, str) else col
     x = F.lower(x) if lower else x
     if mode == "char":
-        return F.filter(F.split(x, ""), lambda s: s != "")
+        return F.split(x, "")
     if mode == "expr":
         x = F.translate(x, "]()", "X")
     elif mode != "word":
         raise ValueError(f"unknown mode {mode!r}")
-    if delimiter is not None and mode == "word":
+    elif delimiter is not None:
         return F.split(x, "\\Q" + delimiter + "\\E")
-    return F.filter(F.split(x, SPACES), lambda s: s != "")
+    return F.split(x, SPACES)
+
+
+def tokenize(col, mode: str = "word", lower: bool = False, delimiter: str | None = None) -> Column:
+    """Token array of a text: white-space words, a delimiter's parts, single characters, or list expressions.
+
+    ``expr`` turns ``]`` into ``X``, drops parentheses and splits at white space.
+    """
+    pieces = _pieces(col, mode, lower, delimiter)
+    # only the ends can be empty, so no entry has to be looked at
+    return pieces if delimiter is not None and mode == "word" else F.array_remove(pieces, "")
 
 
 def build_vocab(df: DataFrame, text: str, level: str = "word", specials: Sequence[str] = ("<unk>",), min_freq: int = 0,
                 max_size: int | None = None, lower: bool = False, delimiter: str | None = None) -> DataFrame:
     """(token, token_id, n): specials first, then tokens by falling count, ties by token.
 
-    Counts combine map-side, so a token that fills a third of the corpus costs one row per task.
+    Counts combine map-side, so a token that fills a third of the corpus costs one row per task. The vocabulary is
+    stored, so that encoding does not count the corpus again.
     """
-    tokens = df.select(F.explode(tokenize(text, level, lower, delimiter)).alias("token"))
+    tokens = df.select(F.explode(_pieces(text, level, lower, delimiter)).alias("token"))
+    if delimiter is None or level != "word":
+        tokens = tokens.where("token != ''")
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ranked = with_ordinal(
         counts.where(F.col("n") >= min_freq), [], [F.desc("n"), "token"], [-F.col("n"), F.substring("token", 1, 2)], "_no"
@@ -52,7 +62,7 @@ def build_vocab(df: DataFrame, text: str, level: str = "word", specials: Sequenc
         lead = df.sparkSession.range(1).select(F.inline(listed)).withColumn("n", F.lit(None).cast("long"))
         ranked = ranked.where(~F.col("token").isin(*specials))
     body = ranked.select("token", (F.col("_no") - 1 + len(specials)).cast("int").alias("token_id"), "n")
-    return lead.unionByName(body) if specials else body
+    return cut_lineage(lead.unionByName(body) if specials else body)
 
 
 def _with_ids(tokens: DataFrame, vocab: DataFrame, id_col: str, unk: int, max_size: int | None) -> DataFrame:
@@ -74,6 +84,8 @@ def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, l_max: int |
            bos: str | None = None, eos: str | None = None, unk: str = "<unk>", level: str = "word", lower: bool = False,
            delimiter: str | None = None, max_size: int | None = None) -> DataFrame:
     """(id, ``input_ids``, ``length``); ``l_max`` counts the added begin and end marks. Empty texts give empty rows."""
+    # documents move to their partition as texts, which are smaller than their tokens; the regrouping then stays local
+    df = df.select(id_col, text).repartition(id_col)
     tokens = tokenize(text, level, lower, delimiter)
     if l_max is not None:
         tokens = F.slice(tokens, 1, max(l_max - (bos is not None) - (eos is not None), 0))
@@ -133,41 +145,57 @@ def label_table(df: DataFrame, col: str, name: str = "label_id") -> DataFrame:
     return numbered.select(col, (F.col("_no") - 1).cast("int").alias(name))
 
 
-def _stream(df: DataFrame, id_col: str, arr: str) -> DataFrame:
-    """Every token with its place (from 0) in the concatenation of all arrays by id, and the stream length."""
-    placed = running_total(
-        df.select(id_col, arr), [], [id_col], magnitude_slices(id_col), {"_before": F.size(arr).cast("long")}, inclusive=False
-    )
-    total = df.agg(F.sum(F.size(arr).cast("long"))).scalar()
-    return placed.select((F.col("_before")).alias("_b"), F.posexplode(arr).alias("_i", "token_id")).select(
-        (F.col("_b") + F.col("_i")).alias("at"), "token_id"
-    ).withColumn("total", total)
+def _offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices, size: Column) -> DataFrame:
+    """Add ``_from``: tokens of the earlier rows."""
+    return running_total(df, keys, order, slices, {"_from": size.cast("long")}, inclusive=False)
+
+
+def _part(arr, first: Column, last: Column) -> Column:
+    """Entries first .. last - 1 (from 0), nothing if the range is empty."""
+    return F.slice(arr, (F.greatest(first, F.lit(0)) + 1).cast("int"), F.greatest(last - F.greatest(first, F.lit(0)), F.lit(0)).cast("int"))
+
+
+def _joined_parts(role: str) -> Column:
+    """Array parts of a group, put together in stream order."""
+    parts = F.array_sort(F.collect_list(F.when(F.size(role) > 0, F.struct("_at", F.col(role).alias("p")))))
+    return F.flatten(F.transform(parts, lambda s: s["p"]))
 
 
 def token_stream(df: DataFrame, id_col: str, arr: str, batch: int, l_max: int, n_context: int = 1, limit_tokens: float = 1.0) -> DataFrame:
     """Training rows of one long ordered stream: (row, step, ``input_ids``, ``target_ids``).
 
     The stream is cut to ``batch`` equal rows; each step advances ``l_max / n_context`` tokens and sees up to ``l_max``
-    tokens back; targets are the inputs one token later, for the new part only.
+    tokens back; targets are the inputs one token later, for the new part only. Arrays are cut, not exploded: a
+    document gives one part per step it touches. ``df`` is read twice, so hand over a stored frame.
     """
     if l_max % n_context:
         raise ValueError("n_context must divide l_max")
     step = l_max // n_context
-    long = _stream(df, id_col, arr).withColumn("total", F.floor(F.col("total") * F.lit(float(limit_tokens))).cast("long"))
-    n = F.floor(F.col("total") / batch).cast("long")
-    long = long.where((F.col("at") < F.col("total"))).withColumn("width", n).where(F.col("at") < F.col("width") * batch)
-    cell = long.withColumns({"row": F.floor(F.col("at") / F.col("width")).cast("long"), "col": F.col("at") % F.col("width")})
-    c, last = F.col("col"), F.col("width") - 1
-    starts = F.floor(c / step).cast("long")
-    final = F.floor((last - 1) / step).cast("long")
-    as_input = F.when(c < last, F.transform(F.sequence(starts, F.least(starts + n_context - 1, final)), lambda k: F.struct(k.alias("step"), F.lit(0).alias("role"))))
-    as_target = F.when(c >= 1, F.array(F.struct(F.floor((c - 1) / step).cast("long").alias("step"), F.lit(1).alias("role"))))
-    empty = F.array().cast("array<struct<step:bigint,role:int>>")
-    placed = cell.select("row", "col", "token_id", F.explode(F.concat(F.coalesce(as_input, empty), F.coalesce(as_target, empty))).alias("p"))
-    pick = lambda role: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("p.role") == role, F.struct("col", "token_id")))), lambda s: s["token_id"]
+    c = F.col
+    floor = lambda x: F.floor(x).cast("long")
+    used = df.agg(floor(F.sum(F.size(arr).cast("long")) * F.lit(float(limit_tokens)))).scalar()
+    placed = _offsets(df.select(id_col, arr).where(F.size(arr) > 0), [], [id_col], magnitude_slices(id_col), F.size(arr))
+    docs = placed.withColumn("_used", used).withColumn("_w", floor(c("_used") / batch)).withColumn(
+        "_to", F.least(c("_from") + F.size(arr), c("_w") * batch)
+    ).where((c("_w") > 0) & (c("_from") < c("_to")))
+    rows = docs.withColumn("row", F.explode(F.sequence(floor(c("_from") / c("_w")), floor((c("_to") - 1) / c("_w")))))
+    # columns of the stream row this document covers
+    rows = rows.withColumns({
+        "_c0": F.greatest(c("_from") - c("row") * c("_w"), F.lit(0)), "_c1": F.least(c("_to") - c("row") * c("_w"), c("_w")),
+        "_base": c("_from") - c("row") * c("_w"), "_last": floor((c("_w") - 2) / step),
+    })
+    first = F.greatest(floor((c("_c0") - 1) / step), F.lit(0))
+    final = F.least(floor((c("_c1") - 1) / step) + n_context - 1, c("_last"))
+    steps = rows.where(first <= final).withColumn("step", F.explode(F.sequence(first, final)))
+    begin, end = c("step") * step, F.least(c("step") * step + step, c("_w") - 1)
+    lo = F.greatest(c("_c0"), begin + step - l_max)
+    t_lo = F.greatest(c("_c0"), begin + 1)
+    parts = steps.select(
+        "row", "step", (c("_base") + c("row") * c("_w")).alias("_at"),
+        _part(arr, lo - c("_base"), F.least(c("_c1"), end) - c("_base")).alias("x"),
+        _part(arr, t_lo - c("_base"), F.least(c("_c1"), end + 1) - c("_base")).alias("y"),
     )
-    return placed.groupBy("row", "p.step").agg(pick(0).alias("input_ids"), pick(1).alias("target_ids"))
+    return parts.groupBy("row", "step").agg(_joined_parts("x").alias("input_ids"), _joined_parts("y").alias("target_ids"))
 
 
 def pack_sentences(df: DataFrame, id_col: str, arr: str, l_max: int, streams: int, seed: int) -> DataFrame:
@@ -178,18 +206,12 @@ def pack_sentences(df: DataFrame, id_col: str, arr: str, l_max: int, streams: in
     """
     hashed = df.select(id_col, arr).where(F.size(arr) > 1).withColumn("_h", seeded_hash([id_col], seed))
     stream = (F.conv(F.substring("_h", 25, 8), 16, 10).cast("long") % streams).alias("stream")
-    placed = running_total(
-        hashed.select("*", stream), ["stream"], ["_h", id_col], hash_slices("_h"), {"_before": (F.size(arr) - 1).cast("long")}, inclusive=False
-    )
-    a = F.col(arr)
-    steps = F.size(a) - 1
-    pairs = F.arrays_zip(F.slice(a, F.lit(1), steps).alias("x"), F.slice(a, F.lit(2), steps).alias("y"))
-    long = placed.select("stream", "_before", F.posexplode(pairs).alias("_i", "_p")).select(
-        "stream", (F.col("_before") + F.col("_i")).alias("at"), F.col("_p")["x"].alias("x"), F.col("_p")["y"].alias("y")
-    )
-    packed = long.withColumn("row", F.floor(F.col("at") / l_max).cast("long")).groupBy("stream", "row").agg(
-        F.array_sort(F.collect_list(F.struct("at", "x", "y"))).alias("_c")
-    )
-    return packed.where(F.size("_c") == l_max).select(
-        "stream", "row", F.transform("_c", lambda s: s["x"]).alias("input_ids"), F.transform("_c", lambda s: s["y"]).alias("target_ids")
-    )
+    size = F.size(arr) - 1
+    placed = _offsets(hashed.select("*", stream), ["stream"], ["_h", id_col], hash_slices("_h"), size)
+    row = lambda at: F.floor(at / l_max).cast("long")
+    cut = placed.withColumn("row", F.explode(F.sequence(row(F.col("_from")), row(F.col("_from") + size - 1))))
+    lo = F.greatest(F.col("row") * l_max - F.col("_from"), F.lit(0))
+    hi = F.least((F.col("row") + 1) * l_max - F.col("_from"), size)
+    parts = cut.select("stream", "row", F.col("_from").alias("_at"), _part(arr, lo, hi).alias("x"), _part(arr, lo + 1, hi + 1).alias("y"))
+    out = parts.groupBy("stream", "row").agg(_joined_parts("x").alias("input_ids"), _joined_parts("y").alias("target_ids"))
+    return out.where(F.size("input_ids") == l_max)

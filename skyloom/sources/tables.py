@@ -19,6 +19,12 @@ def plain_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in todo}) if todo else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than the session has; large scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """``t.events`` reads ``{root}/events.parquet``; ``t.obs`` and friends are the derived views."""
 
@@ -29,7 +35,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return zoned_times(self.spark.read.parquet(f"{self.root}/{name}.parquet"))
+        df = zoned_times(self.spark.read.parquet(f"{self.root}/{name}.parquet"))
+        # texts and vectors take much work per row
+        return spread(df) if name in ("documents", "conversations", "pages", "embeddings") else df
 
     @property
     def obs(self) -> DataFrame:
