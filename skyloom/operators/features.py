@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skyloom.functions.binning import bin_col
 from skyloom.functions.calendar import parse_period, period_seconds
-from skyloom.operators.resample import OPS, _calendar_steps, calendar_grid, summarise
+from skyloom.operators.resample import _calendar_steps, calendar_grid, summarise
 from skyloom.slicing import carry, micros, own_rows, row_frames, sliced, time_slices
 
 logger = logging.getLogger(__name__)
@@ -230,6 +230,21 @@ def align_to_target(df: DataFrame, target: str, neighbours: Sequence[str], cols:
 
 
 # --- rolling -------------------------------------------------------------------------------------------------------
+def _middle(values: Column) -> Column:
+    low, high = F.floor((F.size(values) - 1) / 2).cast("int"), F.floor(F.size(values) / 2).cast("int")
+    return (F.get(values, low) + F.get(values, high)) / 2
+
+
+ROLLING = {
+    "sum": lambda c, rows: F.sum(c).over(rows), "min": lambda c, rows: F.min(c).over(rows), "max": lambda c, rows: F.max(c).over(rows),
+    "mean": lambda c, rows: F.avg(c).over(rows), "std": lambda c, rows: F.stddev_samp(c).over(rows),
+    "var": lambda c, rows: F.var_samp(c).over(rows), "count": lambda c, rows: F.count(c).over(rows),
+    "first": lambda c, rows: F.first(c).over(rows), "last": lambda c, rows: F.last(c).over(rows),
+    "n_unique": lambda c, rows: F.size(F.array_distinct(F.collect_list(c).over(rows))),
+    "median": lambda c, rows: _middle(F.sort_array(F.collect_list(c).over(rows))),
+}
+
+
 def rolling_history(
     df: DataFrame,
     agg_map: Mapping[str, Sequence[str]],
@@ -253,7 +268,7 @@ def rolling_history(
             continue
         plan += [(var, m, w) for m in methods for w in windows or []]
     for _, m, _ in plan:
-        if m not in OPS:
+        if m not in ROLLING:
             raise ValueError(f"unknown aggregation {m!r}")
     if stations:
         df = df.where(F.col(key).cast("string").isin([str(s) for s in stations]))
@@ -266,10 +281,8 @@ def rolling_history(
     for var, m, w in plan:
         late = 1 if legacy_double_shift and m not in ("mean", "min", "max", "sum") else 0
         rows = order.rowsBetween(-w - late, -1 - late)
-        value = F.median(var) if m == "median" else OPS[m](var, ts_col)
-        made[f"{prefix}_{var}_{m}_{w}d"] = F.when(F.count(var).over(rows) == w, value.over(rows))
+        made[f"{prefix}_{var}_{m}_{w}d"] = F.when(F.count(var).over(rows) == w, ROLLING[m](var, rows))
     rolled = own_rows(frame.withColumns(made)).select(key, ts_col, *made)
-    out = None
     by_method: dict[str, list[str]] = {}
     for var, m, w in plan:
         by_method.setdefault(m, []).append(f"{prefix}_{var}_{m}_{w}d")
