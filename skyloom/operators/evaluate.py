@@ -47,9 +47,13 @@ def _class_counts(df: DataFrame, actual: str, predicted: str, by: Sequence[str])
     per_class = counts.select(*by, F.explode(sides).alias("s")).groupBy(*by, "s.label").agg(
         F.sum("s.tp").alias("tp"), F.sum("s.fn").alias("fn"), F.sum("s.fp").alias("fp")
     )
-    group = F.struct(*by) if by else F.lit(0)
-    totals = counts.groupBy(group.alias("_k")).agg(F.sum("n").alias("total"), F.sum(F.when(hit, n).otherwise(zero)).alias("hits"))
-    out = per_class.withColumn("_k", group).join(totals, "_k").drop("_k")
+    sums = [F.sum("n").alias("total"), F.sum(F.when(hit, n).otherwise(zero)).alias("hits")]
+    if by:
+        totals = counts.groupBy(F.struct(*by).alias("_k")).agg(*sums)
+        out = per_class.withColumn("_k", F.struct(*by)).join(totals, "_k").drop("_k")
+    else:
+        whole = counts.agg(*sums).select(F.struct("total", "hits")).scalar()
+        out = per_class.withColumn("_t", whole).select(*per_class.columns, "_t.total", "_t.hits")
     return out.withColumn("tn", F.col("total") - F.col("tp") - F.col("fn") - F.col("fp"))
 
 

@@ -21,8 +21,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
         df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n"))
     )
     ranked = running_total(counted, keys, ["_x"], magnitude_slices("_x"), {"_upto": F.col("_n")})
-    totals = counted.groupBy(F.struct(*keys).alias("_k") if keys else F.lit(0).alias("_k")).agg(F.sum("_n").alias("_all"))
-    ranked = ranked.withColumn("_k", F.struct(*keys) if keys else F.lit(0)).join(totals, "_k")
+    if keys:
+        totals = counted.groupBy(F.struct(*keys).alias("_k")).agg(F.sum("_n").alias("_all"))
+        ranked = ranked.withColumn("_k", F.struct(*keys)).join(totals, "_k")
+    else:
+        ranked = ranked.withColumns({"_k": F.lit(0), "_all": counted.agg(F.sum("_n")).scalar()})
     want = F.array(*[
         F.struct(F.lit(float(p)).alias("prob"), ((F.col("_all") - 1) * float(p)).alias("at")) for p in probs
     ])
