@@ -11,6 +11,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def to_number(col) -> Column:
+    """Number in a text; anything else becomes null."""
+    return _c(col).try_cast("double")
+
+
 def array_sum(arr) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0), lambda acc, x: acc + x)
 

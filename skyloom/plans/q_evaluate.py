@@ -94,9 +94,9 @@ def binary_summary(t):
 
 
 @query("ev_09_regression_metrics", f"""WITH {PRED}, s AS (SELECT stationid, avg(pow(estimate - measured, 2)) AS m FROM pred GROUP BY 1)
-SELECT round(avg(pow(estimate - measured, 2)), 6) AS mse, round(avg(abs(estimate - measured)), 6) AS mae, round(sqrt(avg(pow(estimate - measured, 2))), 6) AS rmse, (SELECT round(avg(sqrt(m)), 6) FROM s) AS forecast_rmse FROM pred""")
+SELECT round(avg(pow(estimate - measured, 2)), 8) AS mse, round(avg(abs(estimate - measured)), 8) AS mae, round(sqrt(avg(pow(estimate - measured, 2))), 8) AS rmse, (SELECT round(avg(sqrt(m)), 8) FROM s) AS forecast_rmse FROM pred""")
 def regression(t):
-    return rounded(ev.regression_metrics(t.pred, "measured", "estimate", ["stationid"]))
+    return rounded(ev.regression_metrics(t.pred, "measured", "estimate", ["stationid"]), 8)
 
 
 @query("ev_09_masked", """WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)

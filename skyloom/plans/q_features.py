@@ -198,10 +198,10 @@ def keep_finite(t):
 
 @query("pf_18_keep_wet_windows", f"""WITH {OBSH}, r AS (SELECT datetime, avg(precip) AS avg FROM obsh GROUP BY 1),
  s AS (SELECT datetime, sum(avg) OVER (ORDER BY datetime ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS rain_sum FROM r)
-SELECT datetime, round(rain_sum, 6) AS rain_sum FROM s WHERE rain_sum > 0""")
+SELECT datetime, round(rain_sum, 8) AS rain_sum FROM s WHERE rain_sum > 0""")
 def wet_windows(t):
     reg = rs.regional_summary(t.obsh, "datetime", "precip").select("datetime", "avg")
-    return rounded(fe.keep_wet_windows(fe.wet_flag(reg, "datetime", "avg", 8), "rain_sum").select("datetime", "rain_sum"))
+    return rounded(fe.keep_wet_windows(fe.wet_flag(reg, "datetime", "avg", 8), "rain_sum").select("datetime", "rain_sum"), 8)
 
 
 @query("pf_19_binary_target", "SELECT event_id, CASE WHEN value <= 0.5 THEN 0 ELSE 1 END AS y, CASE WHEN value <> 0 THEN 1 ELSE 0 END AS has_rain FROM events")
@@ -408,10 +408,10 @@ def align_target(t):
 
 @query("jn_14_merge_target_neighbour", f"""WITH {OBSH}, a AS (SELECT datetime, avg(precip) AS precip, count(*) AS n FROM obsh WHERE stationid = '0' GROUP BY 1),
 b AS (SELECT datetime, avg(precip) AS precip, count(*) AS m FROM obsh WHERE stationid <> '0' GROUP BY 1)
-SELECT a.datetime, round(a.precip, 6) AS precip, a.n, round(b.precip, 6) AS precip_target, b.m FROM a LEFT JOIN b ON a.datetime = b.datetime""")
+SELECT a.datetime, round(a.precip, 8) AS precip, a.n, round(b.precip, 8) AS precip_target, b.m FROM a LEFT JOIN b ON a.datetime = b.datetime""")
 def merge_tn(t):
     mean = lambda cond, n: t.obsh.where(cond).groupBy("datetime").agg(F.avg("precip").alias("precip"), F.count("*").alias(n))
-    return rounded(fe.merge_target_neighbour(mean("stationid = '0'", "n"), mean("stationid <> '0'", "m"), "datetime"))
+    return rounded(fe.merge_target_neighbour(mean("stationid = '0'", "n"), mean("stationid <> '0'", "m"), "datetime"), 8)
 
 
 @query("jn_15_merge_aux", f"""WITH {OBSH}, a AS (SELECT datetime, avg(precip) AS x FROM obsh WHERE stationid IN ('1', '2') GROUP BY 1),

@@ -81,14 +81,14 @@ REGION = f"""{OBSH}, stn AS (SELECT DISTINCT stationid AS s, CAST(stationid AS I
 
 
 @query("pl_03_regional_frame", f"""WITH {REGION} SELECT tgt AS tgt_stid, datetime, CASE WHEN target <= .1 THEN 0.0 WHEN target <= .5 THEN 0.1 WHEN target <= 1 THEN 0.5 WHEN target <= 2 THEN 1.0 WHEN target <= 3 THEN 2.0 WHEN target <= 4 THEN 3.0 WHEN target <= 5 THEN 4.0 ELSE 5.0 END::DOUBLE AS tgt_bin,
- CAST(month(datetime) AS INTEGER) AS month, CAST(hour(datetime) AS INTEGER) AS hour, {', '.join(f'round(avg{k}, 6) AS avg_{k}, ge{k} AS ge_{k}, gt{k} AS gt_{k}' for k in (1, 2, 3))},
+ CAST(month(datetime) AS INTEGER) AS month, CAST(hour(datetime) AS INTEGER) AS hour, {', '.join(f'round(avg{k}, 8) AS avg_{k}, ge{k} AS ge_{k}, gt{k} AS gt_{k}' for k in (1, 2, 3))},
  CASE WHEN no <= floor(n * 0.7 + 1e-9) THEN 'train' WHEN no <= floor(n * 0.7 + 1e-9) + floor(n * 0.15 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM k""")
 def regional_frame(t):
     n = F.col("stationid").cast("int")
     stations = t.obsh.select("stationid").distinct().select(F.col("stationid").alias("stid"), (n * 0.3 + 40).alias("latitude"), (n * 0.2 - 100).alias("longitude"))
     out = jobs.regional_frame(t.obsh, st.station_pairs(stations, 100.0), "precip", 3)
     lags = [F.col(f"{c}_lags")[k - 1].alias(f"{s}_{k}") for k in (1, 2, 3) for c, s in (("avg", "avg"), ("cnt_ge0", "ge"), ("cnt_gt0", "gt"))]
-    return rounded(out.select("tgt_stid", "datetime", "tgt_bin", "month", "hour", *lags, "split"))
+    return rounded(out.select("tgt_stid", "datetime", "tgt_bin", "month", "hour", *lags, "split"), 8)
 
 
 _DAY = "RANGE BETWEEN CURRENT ROW AND INTERVAL '86399.999999 seconds' FOLLOWING"

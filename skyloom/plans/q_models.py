@@ -108,3 +108,13 @@ def resample_stream(t):
 SELECT user_id, clip_start, clip_start + INTERVAL 6 HOUR AS clip_end, round(avg(value), 6) AS value_mean, max(value) AS value_max, count(*) AS n FROM c GROUP BY 1, 2""")
 def clips(t):
     return rounded(sm.sliding_clips(t.events, "user_id", "ts", "6h", "1h", {"value": ["mean", "max"]}))
+
+
+@query("str_02_sliding_clips_stream", """WITH c AS (SELECT user_id, value, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 5 HOUR, ts, INTERVAL 1 HOUR)) AS clip_start FROM events)
+SELECT user_id, clip_start, clip_start + INTERVAL 6 HOUR AS clip_end, round(avg(value), 6) AS value_mean, count(*) AS n FROM c WHERE clip_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
+def clips_stream(t):
+    schema = t.spark.read.parquet(f"{t.root}/events.parquet").schema
+    events = sm.read_stream(t.spark, t.root, schema, glob="events.parquet")
+    out = sm.sliding_clips(events, "user_id", "ts", "6h", "1h", {"value": ["mean"]}, delay="1 day")
+    base = scratch_path(t.spark, "clips")
+    return rounded(sm.run_to_end(out, f"{base}/out", f"{base}/state"))

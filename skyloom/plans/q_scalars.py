@@ -100,7 +100,8 @@ def attributes(t):
 
 @query("sc_13_to_number", "SELECT event_id, TRY_CAST(v AS DOUBLE) AS v FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'bad' ELSE CAST(event_id AS VARCHAR) END AS v FROM events)")
 def to_number(t):
-    return t.events.select("event_id", F.when(F.col("event_id") % 9 == 0, "bad").otherwise(F.col("event_id").cast("string")).try_cast("double").alias("v"))
+    text = F.when(F.col("event_id") % 9 == 0, "bad").otherwise(F.col("event_id").cast("string"))
+    return t.events.select("event_id", ar.to_number(text).alias("v"))
 
 
 UNIT = "unit AS (SELECT vec_id, i, least(1.0, greatest(0.0, (x + 1) / 2)) AS u FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))"

@@ -43,9 +43,9 @@ for _mode, _expr, _cond in [
 
     def _pool(t, mode=_mode):
         out = sq.pool_sequence(t.seq, ["user_id"], ORDER, "value", mode, RAW("ts"), 3)
-        return rounded(out.select("user_id", "event_id", "pooled"))
+        return rounded(out.select("user_id", "event_id", "pooled"), 8)
 
-    query(f"wn_17_pool_{_mode}", f"WITH {NUM}, p AS (SELECT *, {_expr} AS pooled FROM num) SELECT user_id, event_id, round(pooled, 6) AS pooled FROM p WHERE {_cond}")(_pool)
+    query(f"wn_17_pool_{_mode}", f"WITH {NUM}, p AS (SELECT *, {_expr} AS pooled FROM num) SELECT user_id, event_id, round(pooled, 8) AS pooled FROM p WHERE {_cond}")(_pool)
 
 
 @query("wn_17_pool_ragged", f"WITH {NUM} SELECT user_id, event_id, value AS pooled FROM num WHERE pos <= 5 + user_id % 7")
@@ -123,7 +123,7 @@ def channel(t):
 
 
 @query("ag_19c_global_scaler", """WITH e AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, generate_series(1, 64) g(i)), s AS (SELECT avg(x) AS m, stddev_pop(x) AS d FROM e WHERE vec_id % 4 <> 0)
-SELECT vec_id, i, round((x - m) / d, 5) AS x FROM e, s""")
+SELECT vec_id, i, round((x - m) / d, 5) + 0 AS x FROM e, s""")
 def global_scaler(t):
     df = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
     out = sq.scale_arrays(df, "a", sq.fit_global_scaler(df, "a", "vec_id % 4 <> 0"))

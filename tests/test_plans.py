@@ -15,7 +15,7 @@ from skyloom.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = ("ml_", "ev_14_student", "ev_15", "ev_17_ndb")
-EAGER = ("src_", "snk_", "str_01", "ml_", "vo_05", "vo_06", "vo_07", "pl_01", "ev_17_ndb", "ev_23")
+EAGER = ("src_", "snk_", "str_01", "str_02_sliding_clips_stream", "ml_", "vo_05", "vo_06", "vo_07", "pl_01", "ev_17_ndb", "ev_23")
 
 
 def plan(df) -> str:
