@@ -146,7 +146,8 @@ DAY_BINS = ([-math.inf, 1, 5, 20, math.inf], [0, 1, 2, 3])
 
 
 def _split_each(df: DataFrame, key: str, id_cols: Sequence[str], ratios: Sequence[float], seed: int) -> DataFrame:
-    return sp.split_stratified(df, key, ratios, id_cols, seed)
+    """Exact seeded split per station. Sizes, places and rows read the frame: it is stored first, not computed thrice."""
+    return sp.split_stratified(cut_lineage(df), key, ratios, id_cols, seed)
 
 
 def regional_frame(
@@ -165,6 +166,7 @@ def regional_frame(
         F.avg(v).alias("avg"), F.count_if(v >= 0).alias("cnt_ge0"), F.count_if(v > 0).alias("cnt_gt0"),
         F.max(F.when(own, v)).alias("target"), F.max(own).alias("_has"),
     ).where("_has").drop("_has")
+    area = cut_lineage(area)
     frame, w = row_frames(area, ["tgt_stid"], [ts_col], slices or time_slices(ts_col, "month"), before=n_lags)
     lags = own_rows(frame.withColumns({f"{c}_lags": fe._lags(c, w, n_lags) for c in ("avg", "cnt_ge0", "cnt_gt0")}))
     full = lags.where(F.size("avg_lags") == n_lags).withColumns({"month": F.month(ts_col), "hour": F.hour(ts_col)})
@@ -199,7 +201,7 @@ def merged_series_frame(
     series = rs.aggregate_time(merged, key, freq, list(aggs), list(aggs.values()))
     cut = slices or time_slices(key, "year")
     lagged = fe.add_lags(series, key, target, n_lags, cut)
-    return sp.split_time(cut_and_label(lagged, target, bins, labels), [key], ratios, cut)
+    return sp.split_time(cut_lineage(cut_and_label(lagged, target, bins, labels)), [key], ratios, cut)
 
 
 def combine_predictions(parts: Mapping[str, DataFrame], probs_col: str, classes: Sequence) -> DataFrame:
