@@ -108,3 +108,17 @@ def test_tuned_threshold_is_the_best_one(spark):
     out = ev.tune_thresholds(df, ["like", "id"], "x", magnitude_slices("like"), ["id"]).toPandas()
     assert len(out) == 40 and out["is_best"].sum() == 1
     assert out.loc[out["is_best"], "score"].iloc[0] == out["score"].max()
+
+
+def test_worker_functions_need_no_package(tmp_path):
+    """What Spark sends to Python workers can be loaded where this package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps(md._merge_bins))
+    code = f"import pickle; print(pickle.load(open({str(blob)!r}, 'rb')).__name__)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip().endswith("_merge_bins"), out.stderr
