@@ -293,15 +293,18 @@ def rolling_history(
 
 def rolling_time(
     df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Mapping[str, tuple[str, str]], hours: int = 24,
-    min_count: int = 6, direction: str = "backward",
+    min_count: int = 6, direction: str = "backward", slice_days: int = 8,
 ) -> DataFrame:
     """Time-range frames ``(t - hours, t]`` (``forward``: ``[t, t + hours)``).
 
     ``aggs`` maps a new name to (column, "sum" or "mean"); sums take nulls as 0, means need ``min_count`` values.
+    A task holds ``slice_days`` of a key and the rows its first frames reach back to: fewer days for denser series.
     """
+    if direction not in ("backward", "forward"):
+        raise ValueError("direction is 'backward' or 'forward'")
     width = hours * 3_600_000_000 - 1
     before, after = (width, 0) if direction == "backward" else (0, width)
-    cut = sliced(df.withColumn("_us", micros(ts_col)), F.col("_us"), SLICE_DAYS * 86_400_000_000, before, after)
+    cut = sliced(df.withColumn("_us", micros(ts_col)), F.col("_us"), slice_days * 86_400_000_000, before, after)
     w = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-before, after)
     made = {}
     for name, (c, how) in aggs.items():
