@@ -31,12 +31,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     ])
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
     # a distinct value covers ranks first..last; keep it for every wanted rank whose floor or ceiling it covers
-    hits = ranked.withColumns({"_first": first, "_last": last}).select(
-        "_k", "_x", "_first", "_last", F.explode(want).alias("_w")
-    ).select("_k", "_x", "_first", "_last", F.col("_w.prob").alias("prob"), F.col("_w.at").alias("_at"))
     covers = lambda r: (F.col("_first") <= r) & (r <= F.col("_last"))
+    wanted = F.filter(want, lambda w: covers(F.floor(w["at"])) | covers(F.ceil(w["at"])))
+    hits = ranked.withColumns({"_first": first, "_last": last}).select("_k", "_x", "_first", "_last", F.explode(wanted).alias("_w"))
+    hits = hits.select("_k", "_x", "_first", "_last", F.col("_w.prob").alias("prob"), F.col("_w.at").alias("_at"))
     lo, hi = F.floor("_at"), F.ceil("_at")
-    hits = hits.where(covers(lo) | covers(hi))
     out = hits.groupBy("_k", "prob", "_at").agg(
         F.max(F.when(covers(lo), F.col("_x"))).alias("_lo"), F.max(F.when(covers(hi), F.col("_x"))).alias("_hi")
     ).withColumn("value", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at")))
