@@ -39,13 +39,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_dirs: dict[str, str] = {}  # by application, for local sessions without the setting
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a new temporary one when unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="skyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder in ``spark.checkpoint.dir``, which every executor reaches.
+
+    A local session without that setting (tests) gets a temporary folder; on a cluster its absence is an error, as a
+    folder of one machine loses data there.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate results are stored there")
+    return _own_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="skyloom-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
