@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_groups
 from skyloom.llm.token_counts import token_counts
-from skyloom.llm.url_filter import filter_urls, matched_rule, parse, train
+from skyloom.llm.url_filter import filter_urls, train
+from skyloom.llm.url_labels import labelled_urls
 
 #: The rules of the url filter.
 URL_RULES = [
@@ -22,10 +23,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules first; the urls they decide are the labelled table for the rest."""
-    pages = read(spark, sf_dir, "pages")
-    labelled = parse(pages, URL_RULES).where("match IS NOT NULL").select("url", (F.col("match.verdict") == "block").cast("int").alias("label"))
-    return filter_urls(pages, URL_RULES, train(labelled))
+    return filter_urls(read(spark, sf_dir, "pages"), URL_RULES, train(labelled_urls(spark)))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

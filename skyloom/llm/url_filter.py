@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.llm.common import ascii_lower
@@ -57,7 +57,7 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*[_grams(text, n, mark) for text, mark in ((host, "h"), (path, "p")) for n in GRAMS])
 
 
-def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", rounds: int = 50, ridge: float = 1e-3) -> Model:
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", rounds: int = 50, ridge: float = 1e-6) -> Model:
     """Fit on at most ``MAX_LABELLED`` rows with a url and a label, 1 for block (by smallest hash of url and label).
 
     Without labels the model allows all; with one kind of label it gives that one.
@@ -68,11 +68,9 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", r
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model((0.0,) * BUCKETS, 1.0 if counts.get(1.0) else -1.0)
-    found = rows.select("label", grams(url_host(F.col("url")), url_path(F.col("url"))).alias("grams"))
-    size = F.sqrt(F.greatest(F.size("grams"), F.lit(1)).cast("double"))
-    hits = lambda b: F.size(F.filter("grams", lambda g: g == b)).cast("double") / size
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), hits)
-    table = found.select("label", array_to_vector(dense).alias("features")).coalesce(1)
+    found = rows.select("label", grams(url_host(F.col("url")), url_path(F.col("url"))).cast("array<string>").alias("grams")).coalesce(1)
+    counts = CountVectorizerModel.from_vocabulary([str(b) for b in range(BUCKETS)], "grams", "counts")
+    table = Normalizer(p=1.0, inputCol="counts", outputCol="features").transform(counts.transform(found))
     fitted = LogisticRegression(maxIter=rounds, regParam=ridge, standardization=False).fit(table)
     return Model(tuple(map(float, fitted.coefficients)), float(fitted.intercept))
 
@@ -82,14 +80,7 @@ def score(host: Column, path: Column, model: Model) -> Column:
     weights = F.split(F.lit(" ".join(map(repr, model.weights))), " ").cast("array<double>")
     found = grams(host, path)
     total = F.aggregate(found, F.lit(0.0), lambda acc, g: acc + F.get(weights, g))
-    return F.lit(model.bias) + total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double"))
-
-
-def parse(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
-    """``pages`` reduced to url, host, path and the matched rule."""
-    url = F.col(f"`{url_col}`")
-    cut = pages.select(url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path"))
-    return cut.withColumn("match", matched_rule(F.col("host"), F.col("path"), rules))
+    return F.lit(model.bias) + total / F.greatest(F.size(found), F.lit(1))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], model: Model, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
