@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_groups
+from skyloom.llm.simhash import simhash_components
 from skyloom.llm.token_counts import token_counts
 from skyloom.llm.url_filter import filter_urls, train
 from skyloom.llm.url_labels import labelled_urls
@@ -26,6 +27,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES, train(labelled_urls(spark)))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -34,7 +39,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op8_exact_dedup, op9_token_counts)}
 
 ORACLES = {
     "op8_exact_dedup": """
