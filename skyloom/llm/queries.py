@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_groups
+from skyloom.llm.packing import pack
 from skyloom.llm.simhash import simhash_components
 from skyloom.llm.token_counts import token_counts
 from skyloom.llm.url_filter import filter_urls, train
@@ -31,6 +32,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -39,7 +46,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op8_exact_dedup, op9_token_counts)}
 
 ORACLES = {
     "op8_exact_dedup": """
