@@ -1,7 +1,8 @@
 """Exact deduplication by content sort.
 
 Texts are normalised (A-Z lower-cased, null as empty), cut at sampled splitters into ranges of their bytes, sorted
-externally inside each range, and compared in full with their neighbours: equal texts are adjacent.
+externally inside each range, and compared in full with their neighbours: equal texts are adjacent. Splitters hold only
+the start of a text and, for texts that share it, a hash: the sample that reaches the driver stays small.
 
 A text with very many copies would make one range as large as its group. Such texts are found first by an exact count
 per 64-bit hash (counted map-side, one small row per distinct hash). Their rows skip the sort: the group is summed up
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skyloom.llm.common import ascii_lower, partitions
 
+START = 48  # characters of a text that splitters look at
 LEAST_COPIES = 64  # smaller groups are never worth an own way
 
 
@@ -36,8 +38,9 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _sorted(rows: DataFrame, order) -> tuple[DataFrame, Window]:
     """Rows in ranges of their text, sorted; the window sees the equal neighbours without another exchange."""
-    placed = rows.repartitionByRange("norm").sortWithinPartitions("norm", order)
-    return placed, Window.partitionBy("norm").orderBy(order)
+    keys = ["start", "hash", "norm"]
+    placed = rows.withColumn("start", F.substring("norm", 1, START)).repartitionByRange("start", "hash")
+    return placed.sortWithinPartitions(*keys, order), Window.partitionBy(*keys).orderBy(order)
 
 
 def _order(keep: str):
@@ -55,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     order = _order(keep)
     often, others = _split(_rows(docs, id_col, text_col, []))
-    placed, same = _sorted(others.select("id", "norm"), order)
+    placed, same = _sorted(others.select("id", "norm", "hash"), order)
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     alone = placed.select(
         "id",
@@ -81,7 +84,7 @@ def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows that stay, with all columns of ``docs``: one per group of equal texts, chosen as in ``exact_groups``."""
     order = _order(keep)
     often, others = _split(_rows(docs, id_col, text_col, docs.columns))
-    placed, same = _sorted(others.select("id", "norm", "row"), order)
+    placed, same = _sorted(others.select("id", "norm", "hash", "row"), order)
     alone = placed.withColumn("place", F.row_number().over(same)).where("place = 1").select("row.*")
     pick = F.max_by if keep == "largest" else F.min_by
     many = often.groupBy("hash", "norm").agg(F.coalesce(pick("row", "id"), F.any_value("row")).alias("row")).select("row.*")
