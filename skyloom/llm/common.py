@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyloom.session import cut_lineage
+from skyloom.session import cut_lineage, scratch_path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,3 +25,11 @@ def partitions(spark: SparkSession) -> int:
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back."""
     return cut_lineage(df)
+
+
+def stored_small(df: DataFrame) -> DataFrame:
+    """``stored`` for columns of text: compressed harder."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "texts")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,6 +12,31 @@ from pyspark.sql import DataFrame, functions as F
 from skyloom.llm.common import stored
 
 
+class Forest:
+    """Union-find over the links that one task has seen; hands on one link per node at most."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up, top = self.up, x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    def add(self, a: list[int], b: list[int]) -> None:
+        for x, y in zip(a, b):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def links(self) -> tuple[list[int], list[int]]:
+        nodes = list(self.up)
+        return nodes, [self.root(x) for x in nodes]
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node it sees."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -8,6 +8,7 @@ from skyloom.llm.ann import search
 from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_groups
 from skyloom.llm.packing import pack
+from skyloom.llm.paragraphs import repeated_paragraphs
 from skyloom.llm.simhash import simhash_components
 from skyloom.llm.token_counts import token_counts
 from skyloom.llm.url_filter import filter_urls, train
@@ -39,6 +40,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset")
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(read(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -51,7 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op5_paragraph_dedup, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts)}
 
 ORACLES = {
     "op8_exact_dedup": """

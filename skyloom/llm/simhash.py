@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.llm.common import partitions, stored
-from skyloom.llm.components import components
+from skyloom.llm.components import Forest, components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 SPLIT_AT = 20_000  # fingerprints at one anchor beyond which it is split
@@ -105,7 +105,8 @@ def replicas(nodes: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
         F.transform(_anchors(low, 2), lambda a: F.struct(F.lit(0).alias("half"), a.alias("anchor"))),
         F.transform(_anchors(high, 2), lambda a: F.struct(F.lit(1).alias("half"), a.alias("anchor"))),
     )
-    placed = nodes.select("fp", "node", F.explode(at).alias("at"))
+    spread = nodes.select("fp", "node").repartition(partitions(nodes.sparkSession))  # few bytes become many rows
+    placed = spread.select("fp", "node", F.explode(at).alias("at"))
     full = placed.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_at).select("at", F.lit(True).alias("full"))
     tagged = placed.join(full, "at", "left")
     # the other halves of a linked pair differ in at most 4 bits: a word within 2 of both, its anchor within 3
@@ -114,37 +115,12 @@ def replicas(nodes: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     return tagged.select("fp", "node", "at", F.explode(cells).alias("sub")).select(F.struct("at.half", "at.anchor", "sub").alias("cell"), "fp", "node")
 
 
-class _Forest:
-    """Union-find over the links that one task has seen; hands on one link per node at most."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up, top = self.up, x
-        while (y := up.get(top, top)) != top:
-            top = y
-        while x != top:
-            up[x], x = top, up.get(x, x)
-        return top
-
-    def add(self, a: list[int], b: list[int]) -> None:
-        for x, y in zip(a, b):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-    def links(self) -> tuple[list[int], list[int]]:
-        nodes = list(self.up)
-        return nodes, [self.root(x) for x in nodes]
-
-
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
     return both[:, 0].tolist(), both[:, 1].tolist()
 
 
-def _grow(fp: np.ndarray, node: np.ndarray, forest: _Forest, threshold: int) -> None:
+def _grow(fp: np.ndarray, node: np.ndarray, forest: Forest, threshold: int) -> None:
     """Components of one group: each member meets only those that nothing has reached yet."""
     open_fp, open_node = fp, node
     while len(open_fp):
@@ -161,7 +137,7 @@ def _grow(fp: np.ndarray, node: np.ndarray, forest: _Forest, threshold: int) ->
                 open_fp, open_node = open_fp[~near], open_node[~near]
 
 
-def links_of_groups(group: np.ndarray, fp: np.ndarray, node: np.ndarray, forest: _Forest, threshold: int, small: int = 12) -> None:
+def links_of_groups(group: np.ndarray, fp: np.ndarray, node: np.ndarray, forest: Forest, threshold: int, small: int = 12) -> None:
     """Adds the links within each run of equal ``group`` numbers."""
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
     sizes = np.diff(cuts)
@@ -186,7 +162,7 @@ def near_links(nodes: DataFrame, threshold: int = THRESHOLD, split_at: int = SPL
         raise ValueError("the anchors cover up to 4 differing bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, kept = _Forest(), None
+        forest, kept = Forest(), None
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if kept is not None:
