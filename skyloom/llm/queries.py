@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skyloom.llm.ann import search
 from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_groups
+from skyloom.llm.mixing import mixing_rates
 from skyloom.llm.packing import pack
 from skyloom.llm.paragraphs import repeated_paragraphs
+from skyloom.llm.preference import preference_segments, swapped_answers
+from skyloom.llm.quality import quality_scores
 from skyloom.llm.simhash import simhash_components
 from skyloom.llm.token_counts import token_counts
 from skyloom.llm.url_filter import filter_urls, train
@@ -20,6 +23,10 @@ URL_RULES = [
 ]
 
 
+#: Shares of tokens by language that the mix shall have.
+LANGUAGE_WEIGHTS = {"en": 0.60, "de": 0.155, "fr": 0.155, "es": 0.09}
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -40,10 +47,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), LANGUAGE_WEIGHTS)
+
+
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -56,11 +71,38 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op5_paragraph_dedup, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts)}
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_segments(*swapped_answers(read(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format)}
 
 ORACLES = {
     "op8_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM d""",
+    "op10_preference_format": """
+WITH rows AS (SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+answers AS (SELECT pair_id, turn AS last_turn, text AS last_text FROM rows WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) = 1),
+partners AS (SELECT *, coalesce(lead(last_text) OVER (ORDER BY md5(CAST(pair_id AS VARCHAR)), pair_id),
+  first_value(last_text) OVER (ORDER BY md5(CAST(pair_id AS VARCHAR)), pair_id)) AS other FROM answers),
+chosen AS (SELECT r.pair_id, turn, role, text, role = 'assistant' AND turn = last_turn AND text = last_text AS answer, other
+  FROM rows r JOIN partners p ON r.pair_id = p.pair_id AND turn <= last_turn),
+rejected AS (SELECT DISTINCT pair_id, turn, role, CASE WHEN answer THEN other ELSE text END AS text FROM chosen),
+a AS (SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS pos FROM chosen),
+b AS (SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS pos FROM rejected),
+j AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos, a.role AS arole, a.text AS atext, b.role AS brole, b.text AS btext,
+  a.role = b.role AND a.text = b.text AS same FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.pos = b.pos),
+ends AS (SELECT pair_id, min(pos) AS stop FROM j WHERE same IS NOT TRUE GROUP BY pair_id),
+parts AS (SELECT j.pair_id, 'prompt' AS part, pos - 1 AS position, arole AS role, atext AS text FROM j JOIN ends e ON j.pair_id = e.pair_id WHERE pos < stop
+  UNION ALL SELECT j.pair_id, 'chosen', pos - stop, arole, atext FROM j JOIN ends e ON j.pair_id = e.pair_id WHERE pos >= stop AND arole IS NOT NULL
+  UNION ALL SELECT j.pair_id, 'rejected', pos - stop, brole, btext FROM j JOIN ends e ON j.pair_id = e.pair_id WHERE pos >= stop AND brole IS NOT NULL),
+shown AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS train FROM parts),
+placed AS (SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  AS BIGINT) AS start FROM shown)
+SELECT pair_id, part, position, role, rendered, start, train, CASE WHEN train THEN start + length(role) + 13 END AS train_start,
+  CASE WHEN train THEN length(rendered) - length(role) - 13 END AS train_length FROM placed""",
 }
