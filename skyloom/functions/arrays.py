@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 
+def total(arr) -> Column:
+    """Sum of all entries, first to last."""
+    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

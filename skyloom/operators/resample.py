@@ -6,7 +6,7 @@ import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyloom.functions.calendar import parse_period, period_seconds, period_start
 from skyloom.operators.quantiles import exact_quantiles
@@ -203,12 +203,18 @@ def series_profile(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 
 def align_sources(dfs: Sequence[DataFrame], key: str) -> DataFrame:
-    """Every date of any source once, with each source's columns: one union and one aggregation, not a join chain."""
+    """Every date of any source with each source's columns: one union and one aggregation, not a join chain.
+
+    A date that a source has several times is kept that often, in the order of its values; the other sources' rows of
+    that date go with the copies of the same number, so no value is lost and no choice is left to chance.
+    """
     cols = [c for d in dfs for c in d.columns if c != key]
     if len(set(cols)) != len(cols):
         raise ValueError("sources share column names; rename them first")
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
-    return stacked.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+    copies = lambda d: Window.partitionBy(key).orderBy(*[F.col(f"`{c}`") for c in d.columns if c != key])
+    numbered = [d.withColumn("_copy", F.row_number().over(copies(d)) if len(d.columns) > 1 else F.lit(1)) for d in dfs]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    return stacked.groupBy(key, "_copy").agg(*[F.max(c).alias(c) for c in cols]).drop("_copy")
 
 
 full_align = align_sources

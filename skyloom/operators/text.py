@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyloom.functions.arrays import pad_right
 from skyloom.operators.reshape import seeded_hash
 from skyloom.session import cut_lineage
-from skyloom.slicing import hash_slices, magnitude_slices, running_total, with_ordinal
+from skyloom.slicing import hash_slices, magnitude_slices, ranged, running_total, with_ordinal
 
 # fixed values: every white-space character, as one regular-expression class
 SPACES = "[\\u0009-\\u000d\\u001c-\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-BROADCAST_TOKENS = 200_000  # rows of a vocabulary that may be sent to every executor
-HEAD_TOKENS = 10_000  # most frequent tokens of a larger vocabulary that are sent to every executor
 
 
 def _pieces(col, mode: str, lower: bool, delimiter: str | None) -> Column:
@@ -52,9 +50,8 @@ def build_vocab(df: DataFrame, text: str, level: str = "word", specials: Sequenc
     if delimiter is None or level != "word":
         tokens = tokens.where("token != ''")
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = with_ordinal(
-        counts.where(F.col("n") >= min_freq), [], [F.desc("n"), "token"], [-F.col("n"), F.substring("token", 1, 2)], "_no"
-    )
+    placed = ranged(counts.where(F.col("n") >= min_freq), F.desc("n"), F.asc("token"))
+    ranked = with_ordinal(placed, [], [F.desc("n"), "token"], [F.col("_range")], "_no")
     if max_size is not None:
         ranked = ranked.where(F.col("_no") <= max_size)
     if specials:
@@ -65,24 +62,15 @@ def build_vocab(df: DataFrame, text: str, level: str = "word", specials: Sequenc
     return cut_lineage(lead.unionByName(body) if specials else body)
 
 
-def _with_ids(tokens: DataFrame, vocab: DataFrame, id_col: str, unk: int, max_size: int | None) -> DataFrame:
-    """Token ids by join. A bounded vocabulary is broadcast; of a larger one only the frequent head is, so that no
-    hot token has to travel through the shuffle."""
-    ids = vocab.select("token", "token_id")
-    if max_size is not None and max_size <= BROADCAST_TOKENS:
-        return tokens.join(F.broadcast(ids), "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(unk)))
-    head = ids.where(F.col("token_id") < HEAD_TOKENS).withColumnRenamed("token_id", "_head")
-    tail = ids.where(F.col("token_id") >= HEAD_TOKENS).select(F.col("token").alias("_rare"), F.col("token_id").alias("_tail"))
-    found = tokens.join(F.broadcast(head), "token", "left")
-    # rows already answered spread over the tail join by their own id
-    rare = F.when(F.col("_head").isNull(), F.col("token")).otherwise(F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
-    found = found.withColumn("_rare", rare).join(tail, "_rare", "left")
-    return found.withColumn("token_id", F.coalesce("_head", "_tail", F.lit(unk))).drop("_head", "_tail", "_rare")
+def _with_ids(tokens: DataFrame, vocab: DataFrame, unk: int) -> DataFrame:
+    """Token ids by an outer join. Its size decides how: a small vocabulary is sent to the texts, a large one meets them
+    in a shuffle whose hot tokens the engine splits."""
+    return tokens.join(vocab.select("token", "token_id"), "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(unk)))
 
 
 def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, l_max: int | None = None, specials: Sequence[str] = ("<unk>",),
            bos: str | None = None, eos: str | None = None, unk: str = "<unk>", level: str = "word", lower: bool = False,
-           delimiter: str | None = None, max_size: int | None = None) -> DataFrame:
+           delimiter: str | None = None) -> DataFrame:
     """(id, ``input_ids``, ``length``); ``l_max`` counts the added begin and end marks. Empty texts give empty rows."""
     # documents move to their partition as texts, which are smaller than their tokens; the regrouping then stays local
     df = df.select(id_col, text).repartition(id_col)
@@ -91,7 +79,7 @@ def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, l_max: int |
         tokens = F.slice(tokens, 1, max(l_max - (bos is not None) - (eos is not None), 0))
     specials = list(specials)
     long = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
-    coded = _with_ids(long, vocab, id_col, specials.index(unk), max_size)
+    coded = _with_ids(long, vocab, specials.index(unk))
     packed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))))
     rows = coded.groupBy(id_col).agg(F.transform(packed, lambda s: s["token_id"]).alias("ids"))
     parts = [F.col("ids")]
@@ -102,31 +90,28 @@ def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, l_max: int |
     return rows.select(id_col, F.concat(*parts).alias("input_ids")).withColumn("length", F.size("input_ids"))
 
 
-def decode(df: DataFrame, id_col: str, arr: str, vocab: DataFrame, exclude: Sequence[int] = (), sep: str = " ",
-           max_size: int | None = None) -> DataFrame:
+def decode(df: DataFrame, id_col: str, arr: str, vocab: DataFrame, exclude: Sequence[int] = (), sep: str = " ") -> DataFrame:
     """Ids back to text, some ids left out."""
-    long = df.select(id_col, F.posexplode_outer(arr).alias("pos", "token_id"))
-    if exclude:
-        long = long.withColumn("token_id", F.when(~F.col("token_id").isin(*exclude), F.col("token_id")))
-    ids = vocab.select("token_id", "token")
-    small = max_size is not None and max_size <= BROADCAST_TOKENS
-    joined = long.join(F.broadcast(ids) if small else ids, "token_id", "left")
+    kept = F.filter(arr, lambda i: i.isNotNull() & ~i.isin(*exclude)) if exclude else F.filter(arr, lambda i: i.isNotNull())
+    long = df.select(id_col, F.posexplode_outer(kept).alias("pos", "token_id"))
+    joined = long.join(vocab.select("token_id", "token"), "token_id", "left")
     packed = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token"))))
     return joined.groupBy(id_col).agg(F.array_join(F.transform(packed, lambda s: s["token"]), sep).alias("text"))
 
 
-def pad(df: DataFrame, arr: str, length, value, cap: int | None = None) -> DataFrame:
+def pad(df: DataFrame, arr: str, length, value, by: Sequence[str] = ()) -> DataFrame:
     """Right-pad arrays and keep their ``length``.
 
-    ``length`` is a number, ``"batch"`` (longest array of the frame) or ``"pow2"`` (next power of two of each array).
+    ``length`` is a number, ``"batch"`` (longest array of the rows that share ``by``) or ``"pow2"`` (next power of two of
+    each array). Without ``by`` the whole frame is one batch, and one long row makes all rows long.
     """
     out = df.withColumn("length", F.size(arr))
     if length == "batch":
-        goal = df.agg(F.max(F.size(arr))).scalar()
-        return out.withColumn("_goal", goal).withColumn(arr, pad_right(arr, F.col("_goal"), value)).drop("_goal")
+        goals = df.groupBy(*by).agg(F.max(F.size(arr)).alias("_goal"))
+        out = out.join(goals, list(by)) if by else out.withColumn("_goal", goals.scalar())
+        return out.withColumn(arr, pad_right(arr, F.col("_goal"), value)).drop("_goal")
     if length == "pow2":
         goal = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size(arr), F.lit(1)).cast("double")) - 1e-12)).cast("int")
-        goal = F.least(goal, F.lit(cap)) if cap else goal
         return out.withColumn(arr, pad_right(arr, goal, value))
     return out.withColumn(arr, pad_right(arr, int(length), value))
 
@@ -139,9 +124,7 @@ def label_encode(df: DataFrame, col: str, name: str = "label_id") -> DataFrame:
 def label_table(df: DataFrame, col: str, name: str = "label_id") -> DataFrame:
     """Sorted distinct values and their places."""
     symbols = df.select(col).where(F.col(col).isNotNull()).distinct()
-    text = F.col(col).cast("string")
-    first = [F.substring(text, 1, 2)] if dict(df.dtypes)[col] == "string" else magnitude_slices(col)
-    numbered = with_ordinal(symbols, [], [col], first, "_no")
+    numbered = with_ordinal(ranged(symbols, col), [], [col], [F.col("_range")], "_no")
     return numbered.select(col, (F.col("_no") - 1).cast("int").alias(name))
 
 
@@ -161,7 +144,7 @@ def _joined_parts(role: str) -> Column:
     return F.flatten(F.transform(parts, lambda s: s["p"]))
 
 
-def token_stream(df: DataFrame, id_col: str, arr: str, batch: int, l_max: int, n_context: int = 1, limit_tokens: float = 1.0) -> DataFrame:
+def token_stream(df: DataFrame, id_col: str, arr: str, batch: int, l_max: int, n_context: int = 1) -> DataFrame:
     """Training rows of one long ordered stream: (row, step, ``input_ids``, ``target_ids``).
 
     The stream is cut to ``batch`` equal rows; each step advances ``l_max / n_context`` tokens and sees up to ``l_max``
@@ -173,7 +156,7 @@ def token_stream(df: DataFrame, id_col: str, arr: str, batch: int, l_max: int, n
     step = l_max // n_context
     c = F.col
     floor = lambda x: F.floor(x).cast("long")
-    used = df.agg(floor(F.sum(F.size(arr).cast("long")) * F.lit(float(limit_tokens)))).scalar()
+    used = df.agg(F.sum(F.size(arr).cast("long"))).scalar()
     placed = _offsets(df.select(id_col, arr).where(F.size(arr) > 0), [], [id_col], magnitude_slices(id_col), F.size(arr))
     docs = placed.withColumn("_used", used).withColumn("_w", floor(c("_used") / batch)).withColumn(
         "_to", F.least(c("_from") + F.size(arr), c("_w") * batch)

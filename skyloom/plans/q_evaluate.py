@@ -10,7 +10,7 @@ from skyloom.operators.resample import mean_ci
 from skyloom.plans.q_features import rounded
 from skyloom.plans.q_scalars import SOFT
 from skyloom.registry import query
-from skyloom.sources.tables import PRED, PROBS, RATE
+from skyloom.sources.tables import PRED, PROBS, RATE, folds, folds_sql
 
 CONF = f"WITH {PRED}, c AS (SELECT actual, predicted, count(*) AS n FROM pred GROUP BY 1, 2), l AS (SELECT actual AS v FROM pred UNION SELECT predicted FROM pred)"
 
@@ -117,9 +117,9 @@ def accuracy(t):
     return rounded(one.withColumn("accuracy_at_3", three.scalar()))
 
 
-@query("ev_10_binary_accuracy", "SELECT round(avg(CASE WHEN (embedding[1] >= 0) = (label >= 5) THEN 1.0 ELSE 0 END), 6) AS accuracy FROM embeddings")
+@query("ev_10_binary_accuracy", "SELECT round(avg(CASE WHEN (list_sum([CAST(v AS DOUBLE) FOR v IN embedding]) >= 0) = (label >= 5) THEN 1.0 ELSE 0 END), 6) AS accuracy FROM embeddings")
 def binary_accuracy(t):
-    df = t.embeddings.select(F.col("embedding")[0].alias("x"), (F.col("label") >= 5).cast("int").alias("y"))
+    df = t.embeddings.select(folds("embedding", 1)[0].alias("x"), (F.col("label") >= 5).cast("int").alias("y"))
     return rounded(ev.binary_accuracy(df, "x", "y"))
 
 
@@ -149,18 +149,18 @@ def log_loss(t):
     }))
 
 
-@query("ev_13_binary_log_loss", "SELECT round(avg(ln(1 + exp(x)) - x * y), 6) AS loss FROM (SELECT CAST(embedding[1] AS DOUBLE) * 4 AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM embeddings)")
+@query("ev_13_binary_log_loss", "SELECT round(avg(ln(1 + exp(x)) - x * y), 6) AS loss FROM (SELECT list_sum([CAST(v AS DOUBLE) FOR v IN embedding]) * 4 AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM embeddings)")
 def binary_log_loss(t):
-    df = t.embeddings.select((F.col("embedding")[0].cast("double") * 4).alias("x"), (F.col("label") >= 5).cast("double").alias("y"))
+    df = t.embeddings.select((folds("embedding", 1)[0] * 4).alias("x"), (F.col("label") >= 5).cast("double").alias("y"))
     return rounded(ev.binary_log_loss(df, "x", "y"))
 
 
-NLL = "x AS (SELECT CAST(embedding[1] AS DOUBLE) AS mu, ln(1 + exp(CAST(embedding[2] AS DOUBLE))) AS s, 2 + ln(1 + exp(CAST(embedding[3] AS DOUBLE))) AS v, CAST(embedding[4] AS DOUBLE) AS y FROM embeddings)"
+NLL = f"f AS (SELECT {folds_sql('embedding', 4)} AS e FROM embeddings), x AS (SELECT e[1] AS mu, ln(1 + exp(e[2])) AS s, 2 + ln(1 + exp(e[3])) AS v, e[4] AS y FROM f)"
 
 
 def nll_frame(t):
-    e = F.col("embedding")
-    return t.embeddings.select(*[e[i].cast("double").alias(n) for i, n in enumerate(("mu", "sigma", "nu", "y"))])
+    e = F.col("e")
+    return t.embeddings.select(folds("embedding", 4).alias("e")).select(*[e[i].alias(n) for i, n in enumerate(("mu", "sigma", "nu", "y"))])
 
 
 @query("ev_14_gaussian_nll", f"WITH {NLL} SELECT round(avg(ln(s) + 0.5 * ln(2 * pi()) + 0.5 * pow((y - mu) / s, 2)), 6) AS nll FROM x")
@@ -178,10 +178,10 @@ def iou(t):
     return rounded(ev.iou(t.pred.withColumn("y", (F.col("actual") >= 3).cast("double")), "prob", "y"))
 
 
-@query("ev_22_focal_loss", """WITH x AS (SELECT CAST(embedding[1] AS DOUBLE) * 4 AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM embeddings), c AS (SELECT y, ln(1 + exp(x)) - x * y AS ce FROM x)
+@query("ev_22_focal_loss", """WITH x AS (SELECT list_sum([CAST(v AS DOUBLE) FOR v IN embedding]) * 4 AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM embeddings), c AS (SELECT y, ln(1 + exp(x)) - x * y AS ce FROM x)
 SELECT round(avg(pow(1 - exp(-ce), 2) * ce * (0.25 * y + 0.75 * (1 - y))), 6) AS loss FROM c""")
 def focal(t):
-    df = t.embeddings.select((F.col("embedding")[0].cast("double") * 4).alias("x"), (F.col("label") >= 5).cast("int").alias("y"))
+    df = t.embeddings.select((folds("embedding", 1)[0] * 4).alias("x"), (F.col("label") >= 5).cast("int").alias("y"))
     return rounded(ev.focal_loss(df, "x", "y"))
 
 
@@ -276,7 +276,7 @@ def proportions(t):
     return df.select("actual", ev.two_proportions(F.col("ca") / F.col("na"), F.col("na"), F.col("cb") / F.col("nb"), F.col("nb")).alias("differs"))
 
 
-@query("ev_18_tune_thresholds", f"""WITH {SOFT}, o AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1], vec_id) - 1 AS pos, (SELECT count(*) FROM embeddings) AS n,
+@query("ev_18_tune_thresholds", f"""WITH {SOFT}, o AS (SELECT vec_id, row_number() OVER (ORDER BY round(list_sum([CAST(v AS DOUBLE) FOR v IN embedding]), 9), vec_id) - 1 AS pos, (SELECT count(*) FROM embeddings) AS n,
  CAST(('0x' || substr(md5(concat_ws('|', CAST(vec_id AS VARCHAR), '0')), 1, 1)) AS INTEGER) % 2 AS half FROM embeddings),
  r AS (SELECT lo / 10.0::DOUBLE AS low, hi / 100.0::DOUBLE AS high FROM generate_series(0, 4) a(lo), generate_series(60, 95, 5) b(hi)),
  x AS (SELECT low, high, o.vec_id, half, i, p FROM r JOIN o ON pos >= floor(n * low + 1e-9) AND pos < floor(n * high + 1e-9) JOIN soft s ON s.vec_id = o.vec_id),
@@ -287,6 +287,6 @@ SELECT round(low, 2) AS low, round(high, 2) AS high, round(score, 6) AS score, s
 def tune(t):
     from skyloom.slicing import magnitude_slices
 
-    df = t.embeddings.select("vec_id", F.col("embedding")[0].cast("double").alias("like")).join(soft_frame(t).drop("label"), "vec_id")
+    df = t.embeddings.select("vec_id", F.round(folds("embedding", 1)[0], 9).alias("like")).join(soft_frame(t).drop("label"), "vec_id")
     out = ev.tune_thresholds(df, ["like", "vec_id"], "p", magnitude_slices("like"), ["vec_id"])
     return rounded(out)

@@ -364,7 +364,7 @@ def grid(t):
 
 
 SOURCES = """a AS (SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS datetime, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
-b AS (SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS datetime, max(l_discount) AS disc FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+b AS (SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS datetime, max(l_discount) AS disc FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1),
 c AS (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS datetime, count(*) AS orders FROM orders GROUP BY 1)"""
 ALIGNED = f"""WITH {SOURCES} SELECT coalesce(a.datetime, b.datetime, c.datetime) AS datetime, qty, disc, orders
  FROM a FULL JOIN b ON a.datetime = b.datetime FULL JOIN c ON coalesce(a.datetime, b.datetime) = c.datetime"""
@@ -373,7 +373,7 @@ ALIGNED = f"""WITH {SOURCES} SELECT coalesce(a.datetime, b.datetime, c.datetime)
 def sources(t):
     ship = t.lineitem.withColumn("datetime", F.date_trunc("day", "l_shipdate"))
     a = ship.where("l_returnflag = 'A'").groupBy("datetime").agg(F.sum("l_quantity").alias("qty"))
-    b = ship.where("l_returnflag = 'R'").groupBy("datetime").agg(F.max("l_discount").alias("disc"))
+    b = ship.where("l_returnflag <> 'A'").groupBy("datetime").agg(F.max("l_discount").alias("disc"))
     c = t.orders.groupBy(F.date_trunc("day", "o_orderdate").alias("datetime")).agg(F.count("*").alias("orders"))
     return [a, b, c]
 
@@ -383,9 +383,12 @@ def align_sources(t):
     return fe.newest_first(rs.align_sources(sources(t), "datetime"), "datetime")
 
 
-@query("jn_07_full_align", ALIGNED)
+@query("jn_07_full_align", """WITH a AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS datetime, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderkey, o_totalprice) AS k FROM orders),
+b AS (SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS datetime, l_quantity, row_number() OVER (PARTITION BY date_trunc('month', l_shipdate) ORDER BY l_quantity) AS k FROM lineitem)
+SELECT coalesce(a.datetime, b.datetime) AS datetime, o_orderkey, o_totalprice, l_quantity FROM a FULL JOIN b ON a.datetime = b.datetime AND a.k = b.k""")
 def full_align(t):
-    return rs.full_align(sources(t), "datetime")
+    a = t.orders.select(F.date_trunc("month", "o_orderdate").alias("datetime"), "o_orderkey", "o_totalprice")
+    return rs.full_align([a, t.lineitem.select(F.date_trunc("month", "l_shipdate").alias("datetime"), "l_quantity")], "datetime")
 
 
 @query("jn_08_attach_aux_lags", f"""WITH {OBSH}, {FILLED_H},

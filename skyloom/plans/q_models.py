@@ -104,6 +104,17 @@ def resample_stream(t):
     return rounded(sm.run_to_end(out, f"{base}/out", f"{base}/state"))
 
 
+@query("str_01_resample_stream_week", f"""WITH {OBS} SELECT stationid, CAST(date_trunc('week', datetime) AS TIMESTAMP) AS datetime, round(sum(precip), 6) AS precip_sum, count(precip) AS precip_count
+FROM obs WHERE date_trunc('week', datetime) + INTERVAL 7 DAY <= (SELECT max(datetime) - INTERVAL 2 DAY FROM obs) GROUP BY 1, 2""")
+def resample_stream_week(t):
+    schema = t.spark.read.parquet(f"{t.root}/events.parquet").schema
+    events = sm.read_stream(t.spark, t.root, schema, glob="events.parquet")
+    obs = events.select((F.col("user_id") % 5).cast("string").alias("stationid"), F.col("ts").alias("datetime"), F.col("value").alias("precip"))
+    out = sm.resample_stream(obs, "1w", {"precip": ["sum", "count"]}, "2 days")
+    base = scratch_path(t.spark, "stream")
+    return rounded(sm.run_to_end(out, f"{base}/out", f"{base}/state"))
+
+
 @query("str_02_sliding_clips", """WITH c AS (SELECT user_id, value, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 5 HOUR, ts, INTERVAL 1 HOUR)) AS clip_start FROM events)
 SELECT user_id, clip_start, clip_start + INTERVAL 6 HOUR AS clip_end, round(avg(value), 6) AS value_mean, max(value) AS value_max, count(*) AS n FROM c GROUP BY 1, 2""")
 def clips(t):

@@ -32,9 +32,9 @@ def cut_label(t):
     return cut_and_label(v, "v", [0, 5, 20, 1e9], ["dry", "light", "heavy"]).select("label", "event_id")
 
 
-@query("sc_22_probability_bands", f"WITH {PROBS}, p AS (SELECT vec_id, 1 / (1 + exp(-scores[1] * 5)) AS p FROM probs) SELECT vec_id, CASE WHEN p > 0 AND p <= .4 THEN 0 WHEN p <= .5 THEN 1 WHEN p <= .6 THEN 2 WHEN p <= .7 THEN 3 WHEN p <= .8 THEN 4 WHEN p <= .9 THEN 5 WHEN p <= 1 THEN 6 END AS band FROM p")
+@query("sc_22_probability_bands", f"WITH {PROBS}, p AS (SELECT vec_id, 1 / (1 + exp(-list_sum(scores))) AS p FROM probs) SELECT vec_id, CASE WHEN p > 0 AND p <= .4 THEN 0 WHEN p <= .5 THEN 1 WHEN p <= .6 THEN 2 WHEN p <= .7 THEN 3 WHEN p <= .8 THEN 4 WHEN p <= .9 THEN 5 WHEN p <= 1 THEN 6 END AS band FROM p")
 def bands(t):
-    p = 1 / (1 + F.exp(-F.col("scores")[0] * 5))
+    p = 1 / (1 + F.exp(-ar.total("scores")))
     return t.probs.select("vec_id", bin_col(p, [0, .4, .5, .6, .7, .8, .9, 1], list(range(7)), closed="right", outside="null").alias("band"))
 
 
@@ -148,9 +148,9 @@ def softmax(t):
     return rounded(p.select("vec_id", ar.argmax("scores").alias("predicted"), F.array_max("p").alias("top"), F.col("p")[0].alias("p0")))
 
 
-@query("sc_16_two_class", f"WITH {PROBS} SELECT vec_id, round(1 - 1 / (1 + exp(-scores[1])), 6) AS p0, round(1 / (1 + exp(-scores[1])), 6) AS p1 FROM probs")
+@query("sc_16_two_class", f"WITH {PROBS} SELECT vec_id, round(1 - 1 / (1 + exp(-list_sum(scores))), 6) AS p0, round(1 / (1 + exp(-list_sum(scores))), 6) AS p1 FROM probs")
 def two_class(t):
-    p = t.probs.withColumn("p", ar.two_class(F.col("scores")[0]))
+    p = t.probs.withColumn("p", ar.two_class(ar.total("scores")))
     return rounded(p.select("vec_id", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1")))
 
 

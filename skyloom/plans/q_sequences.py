@@ -10,6 +10,7 @@ from skyloom.operators import splits as sp
 from skyloom.plans.q_features import RAW, rounded
 from skyloom.registry import query
 from skyloom.slicing import magnitude_slices, time_slices
+from skyloom.functions.arrays import total
 from skyloom.sources.tables import OBSD, PROBS
 
 ORDER = ["ts", "event_id"]
@@ -77,9 +78,9 @@ def down_pick(t):
     return sq.downsample(t.seq, ["user_id"], ORDER, "value", 4, RAW("ts"), "pick")
 
 
-@query("wn_21_top_k_per_class", f"WITH {PROBS} SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY scores[1] DESC, vec_id) AS rn FROM probs) WHERE rn <= 5")
+@query("wn_21_top_k_per_class", f"WITH {PROBS} SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(list_sum(scores), 9) DESC, vec_id) AS rn FROM probs) WHERE rn <= 5")
 def top_k(t):
-    return sq.top_k_per_class(t.probs.withColumn("s", F.col("scores")[0]), "label", "s", 5, ["vec_id"]).select("vec_id", "label")
+    return sq.top_k_per_class(t.probs.withColumn("s", F.round(total("scores"), 9)), "label", "s", 5, ["vec_id"]).select("vec_id", "label")
 
 
 @query("wn_21_random_k_per_class", "SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', CAST(vec_id AS VARCHAR), '3')), vec_id) AS rn FROM embeddings) WHERE rn <= 5")

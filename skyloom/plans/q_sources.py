@@ -53,6 +53,30 @@ def list_files(t):
     return files.select("stationid").distinct().withColumn("found", F.lit(True)).union(gone)
 
 
+def mixed_files(t):
+    """Station files in two column orders; every record whose id is a multiple of 97 has a word for its number."""
+    rows = t.events.select(
+        F.concat(F.lit("10"), (F.col("user_id") % 5).cast("string")).alias("stationid"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.when(F.col("event_id") % 97 == 0, F.lit("none")).otherwise(F.col("value").cast("string")).alias("precip"),
+        F.date_format("ts", "HH").alias("hour"), "event_id",
+    )
+    root = scratch_path(t.spark, "mixed")
+    odd = F.col("stationid").isin("101", "103")
+    sinks.write_station_files(rows.where(odd), f"{root}/a", "stationid")
+    sinks.write_station_files(rows.where(~odd).select("event_id", "precip", "stationid", "hour", "date"), f"{root}/b", "stationid")
+    return root
+
+
+@query("src_03_mixed_layouts", "SELECT '10' || CAST(user_id % 5 AS VARCHAR) AS stationid, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, CASE WHEN event_id % 97 <> 0 THEN value END AS precip, event_id FROM events")
+def mixed_layouts(t):
+    return readers.read_observations(t.spark, mixed_files(t), obs_schema()).drop("temp")
+
+
+@query("src_03_rejected_records", "SELECT '10' || CAST(user_id % 5 AS VARCHAR) AS stationid, count(*) AS n FROM events WHERE event_id % 97 = 0 GROUP BY 1")
+def rejected(t):
+    return readers.rejected_records(t.spark, mixed_files(t), obs_schema()).groupBy("stationid").agg(F.count("*").alias("n"))
+
+
 @query("src_03_read_observations", "SELECT '10' || CAST(user_id % 5 AS VARCHAR) AS stationid, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, value AS precip, event_id FROM events WHERE user_id % 5 <> 2")
 def read_observations(t):
     ids = ["100", "101", "103", "104"]

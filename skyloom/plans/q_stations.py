@@ -125,10 +125,10 @@ def cap(t):
     return st.cap_per_target(near, "tgt_stid", [F.round("distance", 6), "feat_stid"], 3).select("tgt_stid", "feat_stid")
 
 
-@query("pl_07_target_neighbour_list", f"""WITH {DEG}, own AS (SELECT CAST(l_suppkey AS VARCHAR) AS stid FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 49 GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2),
+@query("pl_07_target_neighbour_list", f"""WITH {DEG}, own AS (SELECT CAST(l_suppkey AS VARCHAR) AS stid FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2),
  r AS (SELECT *, coalesce(vect_close_bkt + 1, 1) AS bucket_rank FROM pairs WHERE feat_stid IN (SELECT stid FROM own))
 SELECT tgt_stid, feat_stid, vect_close_bkt, bearing_bkt, dense_rank() OVER (PARTITION BY tgt_stid ORDER BY bucket_rank, feat_stid) AS rank FROM r""")
 def neighbour_list(t):
-    metrics = t.lineitem.where("l_quantity > 49").select(F.col("l_suppkey").cast("string").alias("stid"), F.col("l_returnflag").alias("metric"))
+    metrics = t.lineitem.select(F.col("l_suppkey").cast("string").alias("stid"), F.col("l_returnflag").alias("metric"))
     out = st.target_neighbour_list(t.stations, metrics, ["A", "R"], 4.0)
     return out.select("tgt_stid", "feat_stid", "vect_close_bkt", "bearing_bkt", F.col("rank").cast("long").alias("rank"))

@@ -51,7 +51,7 @@ def encode(t):
 SELECT d.doc_id, '1 ' || coalesce(ids || ' ', '') || '2' AS ids FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""")
 def encode_short(t):
     vocab = tx.build_vocab(t.documents, "text", specials=MARKS, max_size=5000)
-    out = tx.encode(t.documents, "doc_id", "text", vocab, l_max=64, specials=MARKS, bos="<bos>", eos="<eos>", max_size=5000)
+    out = tx.encode(t.documents, "doc_id", "text", vocab, l_max=64, specials=MARKS, bos="<bos>", eos="<eos>")
     return out.select("doc_id", joined("input_ids").alias("ids"))
 
 
@@ -62,21 +62,26 @@ def lengths_frame(t):
     return t.documents.select("doc_id", F.transform(tx.tokenize("text"), lambda x: F.length(x)).alias("ids"))
 
 
-@query("vo_03_pad_batch", f"WITH {LENGTHS} SELECT doc_id, CAST(n AS INTEGER) AS length, CAST((SELECT max(n) FROM l) AS INTEGER) AS padded, CAST((SELECT max(n) FROM l) - n AS BIGINT) AS blanks FROM l")
+def padded_sql(goal, value):
+    """Contents and length of padded word lengths; ``goal`` is an expression over ``n``."""
+    return f"""WITH {DOCS}, l AS (SELECT doc_id, [length(x) FOR x IN t] AS ids, len(t) AS n FROM docs), g AS (SELECT *, CAST({goal} AS BIGINT) AS goal FROM l)
+SELECT doc_id, CAST(n AS INTEGER) AS length, array_to_string(list_concat(ids, [{value} FOR k IN range(goal - n)]), ' ') AS ids FROM g"""
+
+
+@query("vo_03_pad_batch", padded_sql("max(n) OVER (PARTITION BY doc_id // 16)", -100))
 def pad_batch(t):
-    out = tx.pad(lengths_frame(t), "ids", "batch", -100)
-    blanks = F.size(F.filter("ids", lambda x: x == -100)).cast("long")
-    return out.select("doc_id", "length", F.size("ids").alias("padded"), blanks.alias("blanks"))
+    batches = lengths_frame(t).withColumn("batch", F.floor(F.col("doc_id") / 16))
+    return tx.pad(batches, "ids", "batch", -100, ["batch"]).select("doc_id", "length", joined("ids").alias("ids"))
 
 
-@query("vo_03_pad_pow2", f"WITH {LENGTHS} SELECT doc_id, CAST(n AS INTEGER) AS length, CAST(greatest(n, least(2048, pow(2, ceil(log2(greatest(n, 1)) - 1e-12)))) AS INTEGER) AS padded FROM l")
+@query("vo_03_pad_pow2", padded_sql("pow(2, ceil(log2(greatest(n, 1)) - 1e-12))", 0))
 def pad_pow2(t):
-    return tx.pad(lengths_frame(t), "ids", "pow2", 0, cap=2048).select("doc_id", "length", F.size("ids").alias("padded"))
+    return tx.pad(lengths_frame(t), "ids", "pow2", 0).select("doc_id", "length", joined("ids").alias("ids"))
 
 
-@query("wn_16_left_pad", f"WITH {LENGTHS} SELECT doc_id, CAST(greatest(n, 100) AS INTEGER) AS padded, CAST(least(n, 20) AS INTEGER) AS context, CAST(n AS INTEGER) AS shifted FROM l WHERE n > 0")
+@query("wn_16_left_pad", f"WITH {LENGTHS} SELECT doc_id, CAST(greatest(n, 100) AS INTEGER) AS padded, CAST(least(n, 20) AS INTEGER) AS context, CAST(n AS INTEGER) AS shifted FROM l")
 def left_pad(t):
-    df = lengths_frame(t).where(F.size("ids") > 0)
+    df = lengths_frame(t)
     return df.select("doc_id", F.size(pad_left("ids", 100, 0)).alias("padded"), F.size(sq.trim_context("ids", 20)).alias("context"), F.size(sq.shift_array("ids", 0)).alias("shifted"))
 
 
@@ -91,7 +96,7 @@ def label_encode(t):
 
 
 @query("vo_04_char_transcripts", """WITH c AS (SELECT conv_id, turn, unnest([x FOR x IN string_split(text, '') IF x <> '']) AS token, generate_subscripts([x FOR x IN string_split(text, '') IF x <> ''], 1) AS pos FROM conversations),
- v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT token FROM c)) SELECT conv_id, turn, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM c JOIN v USING (token) GROUP BY 1, 2""")
+ v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT token FROM c)) SELECT conv_id, turn, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos), '') AS ids FROM conversations LEFT JOIN c USING (conv_id, turn) LEFT JOIN v USING (token) GROUP BY 1, 2""")
 def char_transcripts(t):
     df = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("key"), "conv_id", "turn", "text")
     chars = df.select(F.explode(tx.tokenize("text", "char")).alias("token"))
@@ -99,14 +104,14 @@ def char_transcripts(t):
     coded = tx.encode(df.select("key", "text"), "key", "text", table, specials=[""], unk="", level="char")
     # a key appears once per (conversation, turn)
     parts = F.split("key", "-")
-    return coded.where("length > 0").select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), joined("input_ids").alias("ids"))
+    return coded.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), joined("input_ids").alias("ids"))
 
 
 CODED = f"{TOKS}, {vocab_sql(MARKS, 3)}, coded AS (SELECT doc_id, pos, coalesce(v.token_id, 3) AS id FROM toks LEFT JOIN vocab v ON v.token = toks.token)"
 
 
 def coded_frame(t):
-    vocab = cut_lineage(tx.build_vocab(t.documents, "text", specials=MARKS, min_freq=3))
+    vocab = tx.build_vocab(t.documents, "text", specials=MARKS, min_freq=3)
     return cut_lineage(tx.encode(t.documents, "doc_id", "text", vocab, specials=MARKS)), vocab
 
 

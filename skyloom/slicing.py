@@ -18,6 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyloom.session import cut_lineage
+
 Cols = Sequence[str]
 FIRST = -(2**40)  # slice of rows without an order value: before all others
 
@@ -49,6 +51,11 @@ def magnitude_slices(col: str) -> list[Column]:
     return [level(32), level(8192)]
 
 
+def ranged(df: DataFrame, *order) -> DataFrame:
+    """``df``, stored, with ``_range``: even slices of any order, cut at sampled values. Use it as ``F.col("_range")``."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def _group(keys: Cols, slices: Cols) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in [*keys, *slices]])
 

@@ -70,21 +70,52 @@ def observation_schema(spark: SparkSession, root: str, numeric: Sequence[str], i
     return T.StructType([T.StructField(c, T.DoubleType() if c in numeric else T.StringType()) for c in head.columns])
 
 
+def _observation_lines(spark: SparkSession, root: str, listed: list[str] | None) -> DataFrame:
+    """Lines of the observation files with their file, station and the header of the file; the header line is left out."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _glob(listed)).text(root).select(
+        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.regexp_extract(F.col("_metadata.file_name"), STATION_FILE, 1).alias("stationid"),
+    ).where("stationid != ''")
+    # the first line of a file is the first row of its first block
+    heads = lines.where("_block = 0").withColumn("_row", F.monotonically_increasing_id()).groupBy("_path").agg(F.min_by("_line", "_row").alias("_head"))
+    return lines.join(heads, "_path").where(F.col("_line") != F.col("_head"))
+
+
+def _parsed(spark: SparkSession, root: str, schema: T.StructType, ids) -> DataFrame:
+    listed = None if ids is None or isinstance(ids, DataFrame) else sorted({str(i) for i in ids})
+    lines = _observation_lines(spark, root, listed)
+    if listed is not None:
+        lines = lines.where(F.col("stationid").isin(listed))
+    elif isinstance(ids, DataFrame):
+        lines = lines.join(ids.select("stationid").distinct(), "stationid", "left_semi")
+    kinds = {f.name: f.dataType for f in schema.fields}
+    empty = F.lit(None).cast(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]))
+    found = empty
+    for row in lines.select("_head").distinct().collect():  # as many as there are layouts of files
+        names = [n.strip().strip('"') for n in (row["_head"] or "").lstrip("\ufeff").split(",")]
+        layout = T.StructType([T.StructField(f"c{i}", kinds.get(n, T.StringType())) for i, n in enumerate(names)] + [T.StructField("_bad", T.StringType())])
+        cells = F.from_csv("_line", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in layout.fields), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        place = {n: f"c{i}" for i, n in enumerate(names)}
+        by_name = F.struct(*[
+            (cells[place[f.name]] if f.name in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+        ], cells["_bad"].alias("_bad"))
+        found = F.when(F.col("_head") == row["_head"], by_name).otherwise(found)
+    return lines.select("stationid", F.col("_path").alias("path"), F.col("_line").alias("line"), found.alias("cells"))
+
+
 def read_observations(spark: SparkSession, root: str, schema: T.StructType, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """All observation files in one scan, ``stationid`` taken from the file name.
 
-    A list of ids picks the files while listing them; a frame of ids is semi-joined. Unreadable cells become null,
-    corrupt files are skipped.
+    Columns go by the names in each file's own header, whatever their order; those a file lacks are null. A list of ids
+    picks the files while listing them; a frame of ids is semi-joined. Unreadable cells become null; the records that
+    have them, or too few or many cells, are listed by ``rejected_records``.
     """
-    listed = None if ids is None or isinstance(ids, DataFrame) else sorted({str(i) for i in ids})
-    reader = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", _glob(listed))
-    )
-    rows = reader.csv(root).withColumn("stationid", F.regexp_extract(F.col("_metadata.file_name"), STATION_FILE, 1)).where("stationid != ''")
-    if listed is not None:
-        return rows.where(F.col("stationid").isin(listed))
-    return rows.join(ids, "stationid", "left_semi") if isinstance(ids, DataFrame) else rows
+    return _parsed(spark, root, schema, ids).select("cells.*", "stationid").drop("_bad")
+
+
+def rejected_records(spark: SparkSession, root: str, schema: T.StructType, ids: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """(stationid, path, line) of the records that do not fit the layout of their file."""
+    return _parsed(spark, root, schema, ids).where("cells._bad IS NOT NULL").select("stationid", "path", "line")
 
 
 def ensure_datetime(df: DataFrame, date_col: str = "date", time_col: str = "hour", datetime_col: str = "datetime",
@@ -143,17 +174,6 @@ def read_relative_series(spark: SparkSession, path: str, schema: T.StructType |
     return decode_relative(rows.withColumn("_ref", ref.scalar()), name_col, "_ref").drop("_ref", ref_col)
 
 
-def read_lines(spark: SparkSession, path: str, limit_tokens: float = 1.0) -> DataFrame:
-    """Lines of text files with their file and place; ``limit_tokens`` keeps the lines that end inside that leading
-    share of each corpus's tokens."""
-    rows = spark.read.text(path).select(F.col("value").alias("line"), *_file_order())
-    if limit_tokens >= 1:
-        return rows
-    from skyloom.operators.text import tokenize
-    from skyloom.slicing import running_total
-
-    blocks = [F.xxhash64("_path"), F.col("_block"), F.floor(F.col("_row") / 100_000)]
-    sized = rows.withColumns({"_size": F.size(tokenize("line")).cast("long"), "_file": blocks[0]})
-    counted = running_total(sized, [], ["_file", "_block", "_row"], blocks, {"_upto": F.col("_size")})
-    total = sized.agg(F.sum("_size")).scalar()
-    return counted.withColumn("_all", total).where(F.col("_upto") <= F.floor(F.col("_all") * limit_tokens)).drop("_upto", "_all", "_size", "_file")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their file and place."""
+    return spark.read.text(path).select(F.col("value").alias("line"), *_file_order())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from skyloom.session import prepare
 
@@ -19,10 +19,10 @@ def plain_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in todo}) if todo else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has fewer splits than the session has; large scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def folds(vector: str, n: int) -> Column:
+    """``n`` sums over a whole vector: sum ``c`` takes every entry whose place (from 0) leaves ``c`` over ``n``."""
+    part = lambda c: F.filter(vector, lambda x, i: i % n == c)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.aggregate(part(c), F.lit(0.0), lambda acc, x: acc + x.cast("double")))
 
 
 class Tables:
@@ -35,9 +35,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = zoned_times(self.spark.read.parquet(f"{self.root}/{name}.parquet"))
-        # texts and vectors take much work per row
-        return spread(df) if name in ("documents", "conversations", "pages", "embeddings") else df
+        return zoned_times(self.spark.read.parquet(f"{self.root}/{name}.parquet"))
 
     @property
     def obs(self) -> DataFrame:
@@ -131,11 +129,8 @@ class Tables:
 
     @property
     def probs(self) -> DataFrame:
-        """First ten embedding entries as scores of ten classes."""
-        return self.embeddings.select(
-            "vec_id", "label",
-            F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("scores"),
-        )
+        """Scores of ten classes, folded from all embedding entries."""
+        return self.embeddings.select("vec_id", "label", folds("embedding", 10).alias("scores"))
 
     @property
     def seq(self) -> DataFrame:
@@ -181,6 +176,10 @@ PRED = f"""pred AS (SELECT CAST(l_suppkey AS VARCHAR) AS stationid, {_CLS.format
   md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
     CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS VARCHAR),
     l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))) AS id FROM lineitem)"""
-PROBS = """probs AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding[1:10]] AS scores FROM embeddings)"""
+def folds_sql(vector: str, n: int) -> str:
+    return f"[list_sum([CAST({vector}[k] AS DOUBLE) FOR k IN range(c, len({vector}) + 1, {n})]) FOR c IN range(1, {n + 1})]"
+
+
+PROBS = f"""probs AS (SELECT vec_id, label, {folds_sql('embedding', 10)} AS scores FROM embeddings)"""
 RATE = """rate AS (SELECT user_id AS worker, event_type AS method, event_id % 50 AS item,
   CAST(floor(value) AS BIGINT) % 5 + 1 AS quality, event_id FROM events)"""

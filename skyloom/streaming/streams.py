@@ -33,8 +33,10 @@ def resample_stream(sdf: DataFrame, period: str, agg_map: Mapping[str, Sequence[
         for op in ops:
             value = F.percentile_approx(c, 0.5) if op == "median" else OPS[op](c, datetime_col)
             made.append(value.alias(f"{c}_{op}"))
-    width = f"{period_seconds(period)} seconds"
-    out = sdf.withWatermark(datetime_col, delay).groupBy(group_col, F.window(datetime_col, width).alias("_w")).agg(*made)
+    seconds = period_seconds(period)
+    start = "4 days" if seconds % 604_800 == 0 else "0 seconds"  # weeks from Monday, as in batches
+    window = F.window(datetime_col, f"{seconds} seconds", f"{seconds} seconds", start).alias("_w")
+    out = sdf.withWatermark(datetime_col, delay).groupBy(group_col, window).agg(*made)
     return out.select(group_col, F.col("_w.start").alias(datetime_col), *[c for c in out.columns if c not in (group_col, "_w")])
 
 
