@@ -400,14 +400,14 @@ def frechet_distance(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
             half = (v * np.sqrt(np.clip(w, 0, None))) @ v.T
             return np.sqrt(np.clip(np.linalg.eigvalsh(half @ y @ half), 0, None)).sum()
 
-        trace = root_trace(c1, c2)
-        if not np.isfinite(trace):
-            shift = np.eye(len(m1)) * 1e-4
-            trace = root_trace(c1 + shift, c2 + shift)
-        return pd.DataFrame({"distance": [float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * trace)]})
+        return pd.DataFrame({"distance": [float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * root_trace(c1, c2))]})
 
-    stats = _covariance(a, col, "a").unionByName(_covariance(b, col, "b"))  # 2 d (d + 1) numbers
-    return stats.groupBy().applyInPandas(distance, "distance double")
+    return feature_moments(a, b, col).groupBy().applyInPandas(distance, "distance double")
+
+
+def feature_moments(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
+    """Means (j = -1) and covariances of two feature sets as (side, i, j, value): 2 d (d + 1) numbers, however many rows."""
+    return _covariance(a, col, "a").unionByName(_covariance(b, col, "b"))
 
 
 def two_proportions(p1: Column, n1: Column, p2: Column, n2: Column, z_limit: float = 1.96) -> Column:
@@ -424,9 +424,15 @@ def ndb(a: DataFrame, b: DataFrame, col: str, k: int = 50, seed: int = 0) -> Dat
 
     vectors = lambda d: d.select(array_to_vector(F.col(col).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed).fit(vectors(a))
-    cells = lambda d, name: model.transform(vectors(d)).groupBy("prediction").agg(F.count("*").alias(name))
+    placed = lambda d: model.transform(vectors(d)).select(F.col("prediction").alias("cell"))
+    return ndb_of_cells(placed(a), placed(b), k)
+
+
+def ndb_of_cells(a: DataFrame, b: DataFrame, k: int, cell: str = "cell") -> DataFrame:
+    """Share of the ``k`` cells whose proportions of ``a`` and ``b`` differ, for rows already placed in cells."""
+    cells = lambda d, name: d.groupBy(cell).agg(F.count("*").alias(name))
     na, nb = a.agg(F.count("*")).scalar(), b.agg(F.count("*")).scalar()
-    both = cells(a, "ca").join(cells(b, "cb"), "prediction", "left").withColumns({"cb": F.coalesce("cb", F.lit(0)), "na": na, "nb": nb})
+    both = cells(a, "ca").join(cells(b, "cb"), cell, "left").withColumns({"cb": F.coalesce("cb", F.lit(0)), "na": na, "nb": nb})
     differs = two_proportions(F.col("ca") / F.col("na"), F.col("na"), F.col("cb") / F.col("nb"), F.col("nb"))
     return both.agg((F.sum(differs.cast("int")) / float(k)).alias("ndb"))
 

@@ -166,3 +166,20 @@ def ar1_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str], col:
     return rows.where(~train).join(fit, list(keys)).select(
         *keys, *order, h.cast("long").alias("step"), F.col(col).alias("actual"), (power * F.col("_last") + F.col("_a") * drift).alias("forecast")
     )
+
+
+# --- cells ---------------------------------------------------------------------------------------------------------
+def assign_cells(df: DataFrame, col: str, centres: DataFrame) -> DataFrame:
+    """Add ``cell``: the nearest of a short list of centres (``cell``, ``centre``), ties to the smaller number."""
+    listed = centres.agg(F.collect_list(F.struct("cell", F.col("centre").cast("array<double>").alias("centre")))).scalar()
+    x = F.col(col).cast("array<double>")
+    far = lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d)
+    ranked = F.transform("_centres", lambda c: F.struct(F.round(far(c["centre"]), 12).alias("d"), c["cell"].alias("cell")))
+    return df.withColumn("_centres", listed).withColumn("cell", F.array_min(ranked)["cell"]).drop("_centres")
+
+
+def lloyd_step(df: DataFrame, col: str, centres: DataFrame) -> DataFrame:
+    """New (``cell``, ``centre``): the mean of the vectors nearest to each centre; empty cells are left out."""
+    entries = assign_cells(df, col, centres).select("cell", F.posexplode(col).alias("i", "x"))
+    means = entries.groupBy("cell", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return means.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))

@@ -260,6 +260,23 @@ def frechet(t):
     return rounded(ev.frechet_distance(e.where("label < 5"), e.where("label >= 5"), "embedding"))
 
 
+@query("ev_15_feature_moments", """WITH u AS (SELECT vec_id, CASE WHEN label < 5 THEN 'a' ELSE 'b' END AS side, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+ m AS (SELECT side, i, avg(x) AS m FROM u GROUP BY 1, 2)
+SELECT p.side, CAST(p.i AS INTEGER) AS i, CAST(q.i AS INTEGER) AS j, round(covar_samp(p.x, q.x), 6) AS value FROM u p JOIN u q ON p.vec_id = q.vec_id GROUP BY 1, 2, 3
+UNION ALL SELECT side, CAST(i AS INTEGER), -1, round(m, 6) FROM m""")
+def moments(t):
+    e = t.embeddings
+    return rounded(ev.feature_moments(e.where("label < 5"), e.where("label >= 5"), "embedding").select("side", "i", "j", "value"))
+
+
+@query("ev_15_frechet_one_feature", """WITH x AS (SELECT label < 5 AS a, list_sum([CAST(v AS DOUBLE) FOR v IN embedding]) AS x FROM embeddings),
+ s AS (SELECT avg(x) FILTER (a) AS ma, avg(x) FILTER (NOT a) AS mb, var_samp(x) FILTER (a) AS va, var_samp(x) FILTER (NOT a) AS vb FROM x)
+SELECT round(pow(ma - mb, 2) + va + vb - 2 * sqrt(va * vb), 6) AS distance FROM s""")
+def frechet_one(t):
+    e = t.embeddings.select("label", folds("embedding", 1).alias("x"))
+    return rounded(ev.frechet_distance(e.where("label < 5"), e.where("label >= 5"), "x"))
+
+
 @query("ev_17_ndb")
 def ndb(t):
     e = t.embeddings

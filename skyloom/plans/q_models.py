@@ -92,6 +92,50 @@ def ar1_errors(t):
     return m.withColumn("mse", F.round("mse", 4)).withColumns({c: F.round(c, 5) for c in ("mae", "rmse", "forecast_rmse")})
 
 
+# --- cells and groups ----------------------------------------------------------------------------------------------
+def start_centres(t):
+    return t.embeddings.where("vec_id < 20").select(F.col("vec_id").cast("int").alias("cell"), F.col("embedding").alias("centre"))
+
+
+CELLS = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT CAST(vec_id AS INTEGER) AS cell, e AS centre FROM v WHERE vec_id < 20),
+ placed AS (SELECT vec_id, label, e, cell FROM v, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(pow(list_distance(e, centre), 2), 12), cell) = 1)"""
+
+
+@query("ml_05_assign_cells", f"WITH {CELLS} SELECT vec_id, cell FROM placed")
+def assign_cells(t):
+    return md.assign_cells(t.embeddings, "embedding", start_centres(t)).select("vec_id", "cell")
+
+
+@query("ml_05_lloyd_step", f"""WITH {CELLS}, u AS (SELECT cell, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM placed)
+SELECT cell, i, round(avg(x), 6) AS x FROM u GROUP BY 1, 2""")
+def lloyd(t):
+    out = md.lloyd_step(t.embeddings, "embedding", start_centres(t))
+    return rounded(out.select("cell", F.posexplode("centre").alias("i", "x")).withColumn("i", (F.col("i") + 1).cast("long")))
+
+
+@query("ev_17_ndb_of_cells", f"""WITH {CELLS}, n AS (SELECT count(*) FILTER (label < 5) AS na, count(*) FILTER (label >= 5) AS nb FROM placed),
+ k AS (SELECT cell, count(*) FILTER (label < 5) AS ca, count(*) FILTER (label >= 5) AS cb FROM placed GROUP BY 1 HAVING count(*) FILTER (label < 5) > 0),
+ p AS (SELECT ca / na AS p1, cb / nb AS p2, (ca + cb) / (na + nb) AS p, na, nb FROM k, n)
+SELECT round(count(*) FILTER (abs(p1 - p2) > 1.96 * sqrt(p * (1 - p) * (1 / na + 1 / nb)) AND p * (1 - p) > 0) / 20, 6) AS ndb FROM p""")
+def ndb_of_cells(t):
+    from skyloom.operators.evaluate import ndb_of_cells as measure
+
+    placed = md.assign_cells(t.embeddings, "embedding", start_centres(t))
+    return rounded(measure(placed.where("label < 5"), placed.where("label >= 5"), 20))
+
+
+@query("ml_02_logistic_groups", """SELECT l_returnflag, l_linestatus, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 3) AS p1 FROM lineitem GROUP BY 1, 2""")
+def logistic_groups(t):
+    """On indicators of all groups but one, fitted probabilities are the shares of the groups."""
+    flag = F.concat("l_returnflag", "l_linestatus")
+    names = [r[0] for r in t.lineitem.select(flag).distinct().orderBy(flag).collect()][1:]
+    df = t.lineitem.select("l_returnflag", "l_linestatus", (F.col("l_quantity") > 25).cast("int").alias("y"), *[(flag == n).cast("double").alias(f"is_{n}") for n in names])
+    fitted = md.fit_logistic(df, "y", [f"is_{n}" for n in names], max_iter=200)
+    groups = df.withColumn("y", F.lit(0)).distinct()
+    out = md.predict_logistic(groups, fitted, ["l_returnflag", "l_linestatus"])
+    return out.select("l_returnflag", "l_linestatus", F.round(F.col("probs")[1], 3).alias("p1"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 @query("str_01_resample_stream", f"""WITH {OBS} SELECT stationid, date_trunc('hour', datetime) AS datetime, round(sum(precip), 6) AS precip_sum, max(precip) AS precip_max, count(precip) AS precip_count
 FROM obs WHERE date_trunc('hour', datetime) + INTERVAL 1 HOUR <= (SELECT max(datetime) - INTERVAL 2 DAY FROM obs) GROUP BY 1, 2""")

@@ -123,7 +123,7 @@ def channel(t):
     return rounded(sq.scale(df, ["precip"], sq.fit_scaler(df, ["precip"], "datetime < '2000-01-01'", ddof=1), 1e-5))
 
 
-@query("ag_19c_global_scaler", """WITH e AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, generate_series(1, 64) g(i)), s AS (SELECT avg(x) AS m, stddev_pop(x) AS d FROM e WHERE label < 7)
+@query("ag_19c_global_scaler", """WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT avg(x) AS m, stddev_pop(x) AS d FROM e WHERE label < 7)
 SELECT vec_id, i, round((x - m) / d, 5) + 0 AS x FROM e, s""")
 def global_scaler(t):
     df = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
