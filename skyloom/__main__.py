@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from skyloom.plans.jobs import build_model_frame, load_config
-from skyloom.session import SETTINGS
+from skyloom.session import SETTINGS, remove_scratch, scratch_mark
 from skyloom.sources.sinks import write_model_frame
 
 logger = logging.getLogger("skyloom")
@@ -31,12 +31,14 @@ def main(argv: list[str] | None = None) -> int:
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
     spark, config, started = builder.getOrCreate(), load_config(args.config), time.perf_counter()
+    mark = scratch_mark()
     frame = build_model_frame(spark, config, args.station_id, args.lat, args.lon, args.target_var)
     if frame is None:
         logger.warning("nothing to write")
         return 1
     for path in write_model_frame(frame, config.output_dir, str(args.station_id), config.output_prefix, config.output_formats):
         logger.info("wrote %s", path)
+    remove_scratch(spark, mark)
     logger.info("finished in %.1f s", time.perf_counter() - started)
     return 0
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +58,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="skyloom-"))
 
 
+_made: list[str] = []  # scratch paths of this process, in order
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def scratch_mark() -> int:
+    """A place in the list of scratch paths, for ``remove_scratch``."""
+    return len(_made)
+
+
+def remove_scratch(spark: SparkSession, since: int, keep: Collection[str] = ()) -> None:
+    """Delete what was stored after the mark, but for the paths to keep. No frame that reads it may be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for made in _made[since:]:
+        if made not in keep:
+            path(made).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(made), True)
+    _made[since:] = [p for p in _made[since:] if p in keep]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

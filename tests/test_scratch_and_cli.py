@@ -25,6 +25,17 @@ def test_scratch_folder():
     assert one and one == session.shared_dir(fake("local[2]"))
 
 
+def test_removed_scratch(spark):
+    mark = session.scratch_mark()
+    df = session.cut_lineage(spark.range(3))
+    kept = session.scratch_path(spark, "kept")
+    df.write.parquet(kept)
+    session.remove_scratch(spark, mark, [kept])
+    assert spark.read.parquet(kept).count() == 3 and session.scratch_mark() == mark + 1
+    session.remove_scratch(spark, mark)
+    assert session.scratch_mark() == mark
+
+
 def test_command_line(spark, tmp_path):
     files = tmp_path / "obs"
     files.mkdir()
