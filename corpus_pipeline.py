@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm.common import read, stored_small
+from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_survivors
 from skyloom.llm.mixing import mixed
 from skyloom.llm.packing import pack
 from skyloom.llm.quality import accepted
 from skyloom.llm.queries import LANGUAGE_WEIGHTS, tokenizer_path
 from skyloom.llm.simhash import one_of_each
+from skyloom.session import remove_scratch, scratch_mark, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +48,11 @@ ORACLE_SQL = None  # fingerprints, classifier and tokenizer have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored_small(docs)
-    return docs
+    """All stages over ``documents``. What a stage stored for itself is deleted as soon as its result is written."""
+    docs, mark = read(spark, sf_dir, "documents"), scratch_mark()
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        remove_scratch(spark, mark, [path])
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
