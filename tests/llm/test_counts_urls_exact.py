@@ -140,3 +140,21 @@ def test_exact_against_groups(spark, monkeypatch, keep, least):
     assert sorted(lower(r.text) for r in left.collect()) == sorted(groups)
     assert {(r.doc_id) for r in left.collect()} == {k for _, k, _, _ in want}
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0 == exact_dedup.exact_survivors(df.limit(0)).count()
+
+
+# --- queries with SQL
+
+
+@pytest.mark.parametrize("name", ["op8_exact_dedup", "op10_preference_format"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    from skyloom.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(ORACLES[name])
+    columns = [d[0] for d in cur.description]
+    got = QUERIES[name](spark, SF).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, cur.fetchall()), key=str)
