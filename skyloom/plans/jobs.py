@@ -18,10 +18,12 @@ from skyloom.operators import records as rc
 from skyloom.operators import resample as rs
 from skyloom.operators import splits as sp
 from skyloom.operators import stations as st
+from skyloom.operators.models import score
 from skyloom.operators.reshape import union_tagged
 from skyloom.session import cut_lineage, prepare
 from skyloom.slicing import own_rows, row_frames, time_slices
 from skyloom.sources import readers
+from skyloom.sources.sinks import write_results
 
 logger = logging.getLogger(__name__)
 
@@ -206,6 +208,32 @@ def merged_series_frame(
     return sp.split_time(cut_lineage(cut_and_label(lagged, target, bins, labels)), [key], ratios, cut)
 
 
+def regional_errors(series: DataFrame, pairs: DataFrame, n_lags: int, key: str = "stationid", ts_col: str = "datetime") -> DataFrame:
+    """(tgt_stid, n, reason) of the targets that ``regional_frame`` cannot serve, instead of leaving them out in silence."""
+    counts = series.groupBy(F.col(key).alias("tgt_stid")).agg(F.count_distinct(ts_col).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    reason = F.when(n == 0, "no readings").when(n <= n_lags, "too few periods")
+    return pairs.select("tgt_stid").distinct().join(counts, "tgt_stid", "left").select("tgt_stid", n.alias("n"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def day_summary_errors(series: DataFrame, gap_days: int = 3, history_days: int = 30, key: str = "stationid", ts_col: str = "datetime") -> DataFrame:
+    """(station, n, reason) of the stations with too few rows for ``day_summary_frame``."""
+    counts = series.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") < (gap_days + history_days) * 24).withColumn("reason", F.lit("too few periods"))
+
+
+def score_table(
+    spark: SparkSession, path: str, scorer, id_cols: Sequence[str], features: Sequence[str], target: str, out_dir: str, name: str,
+    modeltype: str = "classification", at=None,
+) -> str:
+    """Read a table, score it and write the result under a name with the time in it.
+
+    Ids, features and the target stay in the row of their prediction. Gives the path of the result.
+    """
+    table, _ = readers.load_tabular(spark, path, target, [*id_cols, *features], modeltype)
+    return write_results(score(table, scorer, features, modeltype), out_dir, name, at=at)
+
+
 def combine_predictions(parts: Mapping[str, DataFrame], probs_col: str, classes: Sequence) -> DataFrame:
     """Predictions of all parts in one frame, tagged, with one ``pval_k`` column per class."""
     both = union_tagged(parts, "part").withColumn("_p", parse_probs(probs_col))

@@ -134,3 +134,27 @@ def prediction_summary(t):
     rest = F.ascii(F.substring("id", 1, 1)) % 2
     parts = {name: t.pred.where(rest == i).withColumn("extra", F.lit("{'0': 1}")) for i, name in enumerate(("test", "train"))}
     return ev.binary_summary(jobs.combine_predictions(parts, "extra", [0]), "actual", "predicted", ["part"]).select("part", "tp", "fp", "fn", "tn")
+
+
+@query("pl_03_errors", f"""WITH {OBSH}, w AS (SELECT DISTINCT CAST(user_id % 8 AS VARCHAR) AS s FROM events), c AS (SELECT stationid, count(*) AS n FROM obsh GROUP BY 1)
+SELECT s AS tgt_stid, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'no readings' ELSE 'too few periods' END AS reason FROM w LEFT JOIN c ON stationid = s WHERE coalesce(n, 0) <= 672""")
+def regional_errors(t):
+    wanted = t.events.select((F.col("user_id") % 8).cast("string").alias("tgt_stid")).distinct()
+    return jobs.regional_errors(t.obsh, wanted, 672)
+
+
+@query("pl_04_errors", f"WITH {OBSH} SELECT stationid, count(*) AS n, 'too few periods' AS reason FROM obsh GROUP BY 1 HAVING count(*) < 28 * 24")
+def day_summary_errors(t):
+    return jobs.day_summary_errors(t.obsh, gap_days=1, history_days=27)
+
+
+@query("pl_08_score_table", """WITH l AS (SELECT event_id, user_id, value * 0.5 AS a, user_id * -0.25 + 1 AS b, value * 0.1 + user_id AS c FROM events), g AS (SELECT *, greatest(a, b, c) AS m FROM l)
+SELECT event_id, CASE WHEN a = m THEN 0 WHEN b = m THEN 1 ELSE 2 END AS "Predicted", round(1 / (exp(a - m) + exp(b - m) + exp(c - m)), 6) AS "Probability" FROM g""")
+def score_table(t):
+    from skyloom.plans.q_models import linear
+    from skyloom.session import scratch_path
+
+    source = scratch_path(t.spark, "table") + ".parquet"
+    t.events.select("event_id", "value", F.col("user_id").cast("double").alias("user"), "event_type").write.parquet(source)
+    path = jobs.score_table(t.spark, source, linear, ["event_id"], ["value", "user"], "event_type", scratch_path(t.spark, "scores"), "events")
+    return rounded(t.spark.read.parquet(path).select("event_id", "Predicted", "Probability"))

@@ -15,7 +15,7 @@ from skyloom.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = ("ml_", "ev_15", "ev_17_ndb")
-EAGER = ("src_", "snk_", "str_01", "str_02_sliding_clips_stream", "ml_", "vo_05", "vo_06", "vo_07", "pl_01", "pl_03", "pl_04", "pl_05", "ev_17_ndb", "ev_23")
+EAGER = ("pl_08", "src_", "snk_", "str_01", "str_02_sliding_clips_stream", "ml_", "vo_05", "vo_06", "vo_07", "pl_01", "pl_03", "pl_04", "pl_05", "ev_17_ndb", "ev_23")
 
 
 def plan(df) -> str:
