@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     if frame is None:
         logger.warning("nothing to write")
         return 1
-    for path in write_model_frame(frame, config.output_dir, str(args.station_id), config.output_prefix, config.output_formats):
+    for path in write_model_frame(frame, config.output.folder, str(args.station_id), config.output.name, config.output.formats):
         logger.info("wrote %s", path)
     remove_scratch(spark, mark)
     logger.info("finished in %.1f s", time.perf_counter() - started)

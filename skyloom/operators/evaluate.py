@@ -440,7 +440,7 @@ def ndb_of_cells(a: DataFrame, b: DataFrame, k: int, cell: str = "cell") -> Data
 def tune_thresholds(df: DataFrame, order: Sequence[str], probs: str, slices, id_cols: Sequence[str], seed: int = 0,
                     lows: Sequence[float] = (0.0, 0.1, 0.2, 0.3, 0.4),
                     highs: Sequence[float] = (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)) -> DataFrame:
-    """Inception score of every kept range [low * n, high * n) of rows in ``order``, with the best one marked.
+    """Inception score of every kept range (the default grid is of fixed values) [low * n, high * n) of rows in ``order``, with the best one marked.
 
     Rows are summed once per segment between neighbouring cuts and seeded half; a candidate range is a sum of segments.
     The score splits as sum(p log p) - sum(p) . log(mean of the other half), so sums are all it needs.

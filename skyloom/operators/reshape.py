@@ -54,6 +54,7 @@ def join_ratings(responses: DataFrame, uids: DataFrame, classes: DataFrame) -> D
     return responses.join(uids, "uid").join(classes, "filename")
 
 
+# fixed values: the names of the label sets
 CODE_MODES = ("all", "diagnostic", "subdiagnostic", "superdiagnostic", "superdiagnostic_multiclass", "form", "rhythm")
 
 

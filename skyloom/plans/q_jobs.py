@@ -54,9 +54,12 @@ def build_model_frame(t):
     n = (F.col("user_id") % 5).cast("double")
     meta = t.events.select(F.concat(F.lit("10"), (F.col("user_id") % 5).cast("string")).alias("stid"), (n * 0.3 + 40).alias("latitude"), (n * 0.2 - 100).alias("longitude")).distinct()
     config = jobs.FrameConfig(
-        stations_csv=stored_csv(meta, "meta"), weather_dir=station_files(t), n_miles=60.0, extra_station_ids=["104"], agg_map={"precip": ["sum"], "temp": ["mean"]},
-        period_freq="1h", lookback_days=0.125, years_back=1, indep_vars=["temp_mean"], drop_date_stationid=False, calculate_aux_features=True,
-        aux_resample_apply_to_primary=True, aux_agg_map={"precip_sum": ["sum"], "temp_mean": ["max"]}, aux_rolling_windows=[3], aux_output_mode="both",
+        jobs.StationRules(table=stored_csv(meta, "meta"), radius_miles=60.0, also=["104"]),
+        jobs.SeriesRules(folder=station_files(t), summary={"precip": ["sum"], "temp": ["mean"]}, period="1h"),
+        jobs.FeatureRules(
+            lag_days=0.125, last_years=1, variables=["temp_mean"], without_keys=False, neighbours=True, target_too=True,
+            neighbour_summary={"precip_sum": ["sum"], "temp_mean": ["max"]}, windows=[3],
+        ),
     )
     return rounded(jobs.build_model_frame(t.spark, config, "100", target_var="precip_sum"), 5)
 
