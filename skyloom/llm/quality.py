@@ -133,14 +133,15 @@ def rates(docs: DataFrame, labels: DataFrame, id_col: str, site: Column, path: C
     sites = stored(sites.select("site", ((F.col("good") + a * rate) / (F.col("n") + a)).alias("site_rate")))
     known = paths.join(sites, paths["site"].eqNullSafe(sites["site"])).select(paths["site"], "path", "good", "n", "site_rate")
     b = _strength(known, F.col("site_rate"))
-    return Rates(rate, sites, known.select("site", "path", ((F.col("good") + b * F.col("site_rate")) / (F.col("n") + b)).alias("path_rate")))
+    shrunken = known.select("site", "path", ((F.col("good") + b * F.col("site_rate")) / (F.col("n") + b)).alias("path_rate"))
+    return Rates(rate, sites, stored(shrunken))  # stored: its size is known, and small ones are sent to the texts
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site: Column, path: Column, label_col: str = "quality") -> DataFrame:
-    """``docs`` as the struct ``row``, with ``evidence``, ``site_rate``, ``path_rate``, ``probability``."""
+def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site: Column, path: Column, label_col: str, columns: list[str]) -> DataFrame:
+    """The ``columns`` of ``docs`` as the struct ``row``, with ``evidence``, ``site_rate``, ``path_rate``, ``probability``."""
     known = stored(labels_by_id(labels, id_col, label_col))
     model, groups = train(docs, known, id_col, text_col), rates(docs, known, id_col, site, path)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), site.alias("s"), path.alias("p"), evidence(F.col(f"`{text_col}`"), model).alias("evidence"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), site.alias("s"), path.alias("p"), evidence(F.col(f"`{text_col}`"), model).alias("evidence"))
     sites, paths = groups.sites.withColumnRenamed("site", "s1"), groups.paths.withColumnsRenamed({"site": "s2", "path": "p2"})
     joined = rows.join(sites, F.col("s").eqNullSafe(F.col("s1")), "left").join(paths, F.col("s").eqNullSafe(F.col("s2")) & F.col("p").eqNullSafe(F.col("p2")), "left")
     site_rate = F.coalesce("site_rate", F.lit(groups.rate))
@@ -159,7 +160,7 @@ def quality_scores(
     of its own; rows without an id are scored but carry no label. Repeated rows are scored each. Without labels every
     document has probability one half and stays. Other columns are ignored; an empty table gives an empty result.
     """
-    found = scored(docs, labels, id_col, text_col, F.col(f"`{site_col}`"), F.col(f"`{path_col}`"), label_col)
+    found = scored(docs, labels, id_col, text_col, F.col(f"`{site_col}`"), F.col(f"`{path_col}`"), label_col, [id_col])
     return found.select(F.col("row")[id_col].alias(id_col), "evidence", "site_rate", "path_rate", "probability", (F.col("probability") >= least).alias("keep"))
 
 
@@ -168,5 +169,5 @@ def accepted(
     label_col: str = "quality", least: float = 0.5,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality_scores`` keeps."""
-    found = scored(docs, labels, id_col, text_col, F.col(f"`{site_col}`"), F.col(f"`{path_col}`"), label_col)
+    found = scored(docs, labels, id_col, text_col, F.col(f"`{site_col}`"), F.col(f"`{path_col}`"), label_col, docs.columns)
     return found.where(F.col("probability") >= least).select("row.*")
