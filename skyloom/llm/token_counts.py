@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skyloom.llm.word_bpe import worker_memory
+
 MARK = "▁"  # how the model writes a space
-REMEMBERED = 400_000  # merged pre-tokens kept per worker
+REMEMBERED = 250_000  # merged pre-tokens kept per worker
 LONGEST_KEPT = 48  # longer ones are merged each time
 _RUNS = re.compile(" +[^ ]*")
-_loaded: dict[str, "PieceCounter"] = {}
 
 
 class _Counts(dict):
@@ -74,9 +75,10 @@ def prove_single(model, pieces: list[str]) -> dict[str, int]:
 
 
 def counter(path: str) -> PieceCounter:
-    if path not in _loaded:
-        _loaded[path] = PieceCounter(path)
-    return _loaded[path]
+    known = worker_memory()
+    if ("pieces", path) not in known:
+        known["pieces", path] = PieceCounter(path)
+    return known["pieces", path]
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
