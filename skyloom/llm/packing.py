@@ -148,23 +148,24 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         raise ValueError("length is a power of two and a multiple of the class width")
     tokens = stored(encoded(docs, tokenizer, id_col, text_col))
     found = pieces(tokens.select("row", "n"), length, width)
-    lists = found.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence", "offset")).alias("pieces"))
+    lists = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "sequence", "offset"))).alias("pieces"))
     kind = tokens.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                n, raw = batch.column(2)[i].as_py(), batch.column(1)[i].as_buffer()
-                ids = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4")
-                cut = batch.column(3)[i].as_py()
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                n, cut = part.column(2).to_numpy(), part.column(3)
+                raw = np.frombuffer(b"".join([x.as_buffer() for x in part.column(1)]), np.uint8)
+                ids = raw.view("<u2" if len(raw) == 2 * n.sum() else "<u4").astype("<u4")
+                at, of = cut.flatten(), np.repeat(np.arange(len(n)), cut.value_lengths().to_numpy())
+                start, length, sequence, offset = at.flatten()
+                # pieces follow each other as the ids do
+                ends = np.concatenate(([0], np.cumsum(length.to_numpy() * 4))).astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                rows = pa.array(of)
                 yield pa.record_batch(
-                    [
-                        batch.column(0).slice(i, 1).take(pa.array([0] * len(cut))),
-                        *[pa.array([p[k] for p in cut], pa.int64()) for k in ("start", "length")],
-                        pa.array([ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes() for p in cut], pa.binary()),
-                        pa.array([n] * len(cut), pa.int64()),
-                        *[pa.array([p[k] for p in cut], pa.int64()) for k in ("sequence", "offset")],
-                    ],
+                    [part.column(0).take(rows), start, length, texts, part.column(2).take(rows), sequence, offset],
                     names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 

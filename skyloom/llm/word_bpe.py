@@ -10,11 +10,10 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 
-import numpy as np
-
-REMEMBERED = 300_000  # chunks kept per worker
-LONGEST_KEPT = 64  # bytes; longer chunks are encoded each time
+REMEMBERED = 250_000  # chunks kept per worker
+LONGEST_KEPT = 40  # bytes; longer chunks are encoded each time
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(rf"[!-~À-ÖØ-öø-ÿ]+")
 #: The pre-token pattern of the tokenizer file, for lower-case text of the alphabet above.
@@ -23,7 +22,7 @@ _PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0
 
 def worker_memory() -> dict:
     """A dictionary that lives as long as the worker process, whatever is sent to it."""
-    return sys.modules.setdefault("skyloom_worker_memory", types.ModuleType("skyloom_worker_memory")).__dict__
+    return sys.modules.setdefault("skyloom_worker_memory", types.ModuleType("skyloom_worker_memory")).__dict__.setdefault("memory", {})
 
 
 def _byte_letters() -> list[str]:
@@ -42,9 +41,12 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def ids_of(self, chunk: str) -> list[int]:
         if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
             letters, merge = self.letters, self.model.tokenize
@@ -52,7 +54,12 @@ class ChunkEncoder(dict):
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        found = np.array(self.ids_of(chunk.decode()), self.dtype).tobytes()
+        if chunk.isalpha():  # ASCII letters only: one pre-token of plain letters
+            found = self.packed([t.id for t in self.model.tokenize(chunk.lower().decode())])
+        elif chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1:]]  # two pre-tokens, and the first may be known
+        else:
+            found = self.packed(self.ids_of(chunk.decode()))
         if len(chunk) <= LONGEST_KEPT:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -65,6 +72,6 @@ class ChunkEncoder(dict):
 
 def encoder(path: str) -> ChunkEncoder:
     known = worker_memory()
-    if path not in known:
-        known[path] = ChunkEncoder(path)
-    return known[path]
+    if ("chunks", path) not in known:
+        known["chunks", path] = ChunkEncoder(path)
+    return known["chunks", path]
