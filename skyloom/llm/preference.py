@@ -1,15 +1,16 @@
 """Preference formatting: chosen and rejected conversations as one prompt and two masked completions.
 
-The longest common prefix of turns is found by position: turns are numbered per pair, the two sides are joined on pair
-and position, and the first position that differs, or is missing on one side, ends the prefix. Nothing gathers a whole
-conversation: the result has a row per turn, each with its rendered text, its place in the string of its part, and the
-span that a loss may see. ``assembled`` joins the strings of pairs that fit a row.
+Turns are ordered by number, role and text. The longest common prefix of two such sequences ends at the smallest turn
+that only one of them has, so it takes one grouping of the turns of both sides and a minimum per pair. Nothing gathers a
+whole conversation: the result has a row per turn, each with its rendered text, its place in the string of its part, and
+the span that a loss may see. ``assembled`` joins the strings of pairs that fit a row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skyloom.llm.common import stored
 from skyloom.slicing import running_total, with_ordinal
 
 #: The marks of a rendered turn.
@@ -17,13 +18,11 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SLICE = 1024  # turns numbered in one task
 
 
-def _numbered(side: DataFrame, pair: str, turn: str, role: str, text: str) -> DataFrame:
-    """``pair, pos, role, text``: distinct turns in order, from 1; nulls as empty texts, null turns first."""
+def _turns(side: DataFrame, pair: str, turn: str, role: str, text: str, name: str) -> DataFrame:
+    """``pair, turn, role, text`` and the side's name; null roles and texts as empty ones."""
     filled = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = side.select(F.col(f"`{pair}`").alias("pair"), F.col(f"`{turn}`").cast("long").alias("turn"), filled(role).alias("role"), filled(text).alias("text"))
-    rows = rows.where("pair IS NOT NULL").distinct()
-    place = F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 40))).cast("long")
-    return with_ordinal(rows, ["pair"], [F.asc_nulls_first("turn"), "role", "text"], [place], "pos").select("pair", "pos", "role", "text")
+    return rows.where("pair IS NOT NULL").withColumn("side", F.lit(name))
 
 
 def _rendered(role: Column, text: Column) -> Column:
@@ -38,31 +37,30 @@ def preference_segments(
     ``rendered``, ``start`` (characters before it in the string of the part), ``train``, ``train_start``, ``train_length``.
 
     The prompt holds the longest common prefix once and is masked whole. In completions, turns of ``trained_role`` are
-    trained on: text and end mark, not the header. Null roles and texts count as empty; a turn given twice counts once;
-    turns of one number go by role and text; rows without a pair id stay out. Pairs with only one side have an empty
+    trained on: text and end mark, not the header. Null roles and texts count as empty; a turn given twice on a
+    side counts once; turns of one number go by role and text, and both sides number their turns alike; rows without a pair id stay out. Pairs with only one side have an empty
     prompt and one completion; pairs without any difference state no preference and are left out. Empty tables give an
     empty result.
     """
-    a = _numbered(chosen, pair_col, turn_col, role_col, text_col).select("pair", "pos", F.struct("role", "text").alias("a"))
-    b = _numbered(rejected, pair_col, turn_col, role_col, text_col).select("pair", "pos", F.struct("role", "text").alias("b"))
-    both = a.join(b, ["pair", "pos"], "full")
-    differ = both.where(~F.col("a").eqNullSafe(F.col("b"))).groupBy("pair").agg(F.min("pos").alias("end"))
-    marked = both.join(differ, "pair")
-    turn = lambda part, side: F.struct(F.lit(part).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
-    shared = F.col("pos") < F.col("end")
-    sides = F.when(shared, F.array(turn("prompt", "a"))).otherwise(
-        F.filter(F.array(F.when(F.col("a").isNotNull(), turn("chosen", "a")), F.when(F.col("b").isNotNull(), turn("rejected", "b"))), lambda t: t.isNotNull())
-    )
-    position = F.when(shared, F.col("pos") - 1).otherwise(F.col("pos") - F.col("end"))
-    rows = marked.select("pair", position.alias("position"), F.explode(sides).alias("t")).select("pair", "position", "t.*")
-    rows = rows.withColumn("rendered", _rendered(F.col("role"), F.col("text")))
-    placed = running_total(
-        rows, ["pair", "part"], ["position"], [F.floor(F.col("position") / SLICE).cast("long")], {"start": F.length("rendered").cast("long")}, inclusive=False
+    names = pair_col, turn_col, role_col, text_col
+    rows = _turns(chosen, *names, "chosen").unionByName(_turns(rejected, *names, "rejected"))
+    has = lambda side: F.max((F.col("side") == side).cast("int")) == 1
+    both = rows.groupBy("pair", "turn", "role", "text").agg(has("chosen").alias("in_chosen"), has("rejected").alias("in_rejected"))
+    both = stored(both)  # read twice
+    at = F.struct("turn", "role", "text")  # a null turn comes first
+    ends = both.where("NOT (in_chosen AND in_rejected)").groupBy("pair").agg(F.min(at).alias("end"))
+    parts = F.when(at < F.col("end"), F.array(F.lit("prompt"))).otherwise(
+        F.filter(F.array(F.when(F.col("in_chosen"), F.lit("chosen")), F.when(F.col("in_rejected"), F.lit("rejected"))), lambda p: p.isNotNull())
     )
+    shown = both.join(ends, "pair").select("pair", "turn", "role", "text", F.explode(parts).alias("part"))
+    shown = shown.withColumn("rendered", _rendered(F.col("role"), F.col("text")))
+    place = F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 40))).cast("long")
+    sums = {"position": F.lit(1).cast("long"), "start": F.length("rendered").cast("long")}
+    placed = running_total(shown, ["pair", "part"], [F.asc_nulls_first("turn"), "role", "text"], [place], sums, inclusive=False)
     train = (F.col("part") != "prompt") & (F.col("role") == trained_role)
     head = F.length(F.col("role")) + len(OPEN) + 1
     return placed.select(
-        F.col("pair").alias(pair_col), "part", "position", "role", "rendered", F.col("start").cast("long").alias("start"), train.alias("train"),
+        F.col("pair").alias(pair_col), "part", F.col("position").cast("long").alias("position"), "role", "rendered", F.col("start").cast("long").alias("start"), train.alias("train"),
         F.when(train, F.col("start") + head).cast("long").alias("train_start"), F.when(train, F.length("rendered") - head).cast("long").alias("train_length"),
     )
 
@@ -90,10 +88,12 @@ def swapped_answers(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ).where("pair_id IS NOT NULL AND turn IS NOT NULL")
     last = rows.where("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     key = F.md5(F.col("pair_id").cast("string"))
-    placed = with_ordinal(last.withColumn("key", key), [], ["key", "pair_id"], [F.substring("key", 1, n) for n in (2, 4)], "place")
+    last = stored(last.withColumn("key", key))
+    placed = stored(with_ordinal(last, [], ["key", "pair_id"], [F.substring("key", 1, n) for n in (2, 4)], "place"))
     n = last.agg(F.count(F.lit(1)).alias("n"))
     following = placed.select(F.col("place").alias("wanted"), F.col("last.text").alias("other"))
     pairs = placed.withColumn("wanted", F.col("place") % F.lit(n.first()["n"] or 1) + 1).join(following, "wanted").select("pair_id", "last", "other")
+    pairs = stored(pairs)
     kept = rows.join(pairs, "pair_id").where(F.col("turn") <= F.col("last.turn"))
     answer = (F.col("turn") == F.col("last.turn")) & F.col("role").eqNullSafe(F.lit("assistant")) & F.coalesce("text", F.lit("")).eqNullSafe(F.col("last.text"))
     chosen = kept.select("pair_id", "turn", "role", "text")
