@@ -23,6 +23,7 @@ from skyloom.llm.common import stored
 BUCKETS = 4096
 MAX_LABELLED = 5_000  # labelled documents that the classifier is fitted on, by smallest hash of the id
 EVIDENCE = 50.0  # trigrams that a text counts for at most: keeps memberships soft
+LEAST_SHARE = 0.5  # of the tokens of the corpus that a default total asks for, however scarce a domain is
 TOLERANCE, MOST_ROUNDS = 1e-4, 40
 
 
@@ -36,11 +37,12 @@ def trigram_counts(text: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Domains:
-    """Names, log shares of trigram buckets by domain, and log priors."""
+    """Names, log shares of trigram buckets by domain, log priors, and which have labelled documents."""
 
     names: tuple[str, ...]
     shares: np.ndarray
     priors: np.ndarray
+    labelled: np.ndarray
 
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty((len(texts), len(self.names)))
@@ -79,7 +81,7 @@ def train(docs: DataFrame, labelled_ids: DataFrame, names: list[str], id_col: st
     for r in counted.collect():
         table[names.index(r["domain"]), r["bucket"]] = r["n"]
     shares = np.log(table[:, :BUCKETS] + 0.5) - np.log(table[:, :BUCKETS].sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-    return Domains(tuple(names), shares, np.log(table[:, BUCKETS] + 1) - np.log(table[:, BUCKETS].sum() + len(names)))
+    return Domains(tuple(names), shares, np.log(table[:, BUCKETS] + 1) - np.log(table[:, BUCKETS].sum() + len(names)), table[:, BUCKETS] > 0)
 
 
 def memberships(text: Column, model: Domains) -> Column:
@@ -141,24 +143,44 @@ def _totals(table: DataFrame, size: int, steps, most_rate: float) -> tuple[np.nd
     return out[:size], out[size:]
 
 
-def fit_rates(table: DataFrame, weights: dict[str, float], most_rate: float = 1.0, total: float | None = None) -> Fit:
-    """``table``: stored ``tokens`` and ``posterior``. ``total`` defaults to the most tokens that keep every domain within
-    ``most_rate`` times what it has. Domains without tokens leave their weight to the others."""
+def _judged(table: DataFrame, size: int) -> np.ndarray:
+    """Tokens of the documents that each domain is the most probable one of."""
+    best = F.array_position("posterior", F.array_max("posterior")) - 1
+    out = np.zeros(size)
+    for r in table.groupBy(best.alias("k")).agg(F.sum("tokens").alias("n")).collect():
+        out[r["k"]] = r["n"]
+    return out
+
+
+def fit_rates(
+    table: DataFrame, weights: dict[str, float], most_rate: float = 1.0, total: float | None = None, labelled: np.ndarray | None = None
+) -> Fit:
+    """``table``: stored ``tokens`` and ``posterior``. Domains without labelled documents, or that are nowhere the most
+    probable one, are absent: their soft residue gets no target, and they leave their weight to the others.
+
+    ``total`` defaults to the most tokens that keep every present domain within ``most_rate`` times what it has, but to
+    no less than ``LEAST_SHARE`` of all tokens. A domain too scarce for that is taken as far as least squares allow.
+    """
     size = len(weights)
     has, _ = _totals(table, size, (), 1.0)
-    w = np.array(list(weights.values()), float) * (has > 1e-9)
+    present = _judged(table, size) > 0
+    if labelled is not None:
+        present &= labelled
+    w = np.array(list(weights.values()), float) * present
     if not w.sum():
         return Fit((), most_rate, (0.0,) * size, (0.0,) * size)
     w = w / w.sum()
-    wanted = w * (total if total is not None else most_rate * min(h / x for h, x in zip(has, w) if x > 0))
-    scale = np.where(has > 1e-9, has, 1.0)
+    if total is None:
+        total = max(most_rate * min(h / x for h, x in zip(has, w) if x > 0), min(1.0, most_rate) * LEAST_SHARE * has.sum())
+    wanted = w * total
+    scale = np.where(present, has, 1.0)
     steps: list[tuple[float, ...]] = []
     now, ahead = _totals(table, size, (), most_rate)
     for _ in range(MOST_ROUNDS):
-        if np.abs(now - wanted).max() <= TOLERANCE * wanted.sum():
+        if np.abs(now - wanted)[present].max() <= TOLERANCE * wanted.sum():
             break
         # with errors weighed by 1 / has, no direction of the normal matrix is longer than 1
-        steps.append(tuple(((ahead - wanted) / scale).tolist()))
+        steps.append(tuple(np.where(present, (ahead - wanted) / scale, 0.0).tolist()))
         now, ahead = _totals(table, size, tuple(steps), most_rate)
     return Fit(tuple(steps), most_rate, tuple(wanted.tolist()), tuple(now.tolist()))
 
@@ -183,7 +205,7 @@ def _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, tota
     model = train(docs, ids, names, id_col, text_col, domain_col)
     text = F.col(f"`{text_col}`")
     table = stored(docs.select(F.col(f"`{id_col}`").alias("id"), token_size(text).alias("tokens"), memberships(text, model).alias("posterior")))
-    return names, model, table, fit_rates(table, weights, most_rate, total)
+    return names, model, table, fit_rates(table, weights, most_rate, total, model.labelled)
 
 
 def mixing_rates(

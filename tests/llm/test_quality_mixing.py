@@ -131,3 +131,22 @@ def test_mixing_query(spark):
     assert {r.doc_id: r.tokens for r in rows} == tokens
     totals = np.array([np.array(r.posterior) * r.tokens * r.rate for r in rows]).sum(axis=0)
     assert np.allclose(totals / totals.sum(), list(LANGUAGE_WEIGHTS.values()), atol=0.01)
+
+
+def test_mixing_without_a_language(spark, docs, labels):
+    left = docs.where("lang <> 'es'")
+    rates = mixing.mixing_rates(left, labels, LANGUAGE_WEIGHTS).cache()
+    whole = rates.agg(F.sum("tokens")).first()[0]
+    assert rates.agg(F.sum(F.col("tokens") * F.col("rate"))).first()[0] > 0.5 * whole
+    sums = {r.lang: r.n for r in left.join(rates, "doc_id").groupBy("lang").agg(F.sum(F.col("tokens") * F.col("rate")).alias("n")).collect()}
+    present = {k: w / (1 - LANGUAGE_WEIGHTS["es"]) for k, w in LANGUAGE_WEIGHTS.items() if k != "es"}
+    assert all(abs(sums[k] / sum(sums.values()) - w) < 0.05 for k, w in present.items())
+
+
+def test_mixing_with_a_scarce_language(spark):
+    sharp = [0.999997, 0.000001, 0.000001, 0.000001]
+    rows = [(100, sharp[-k:] + sharp[:-k]) for k in range(3) for _ in range(50)] + [(1, [0.1, 0.2, 0.3, 0.4])]
+    table = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+    fit = mixing.fit_rates(table, LANGUAGE_WEIGHTS)
+    assert sum(fit.totals) > 0.4 * 15_001
+    assert fit.rates(np.array([[0.1, 0.2, 0.3, 0.4]]))[0] > 0.9
