@@ -10,6 +10,7 @@ from skyloom.llm.exact_dedup import exact_groups
 from skyloom.llm.mixing import mixing_rates
 from skyloom.llm.packing import pack
 from skyloom.llm.paragraphs import repeated_paragraphs
+from skyloom.llm.passages import repeated_passages
 from skyloom.llm.preference import preference_segments, swapped_answers
 from skyloom.llm.quality import quality_scores
 from skyloom.llm.simhash import simhash_components
@@ -55,6 +56,10 @@ def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(read(spark, sf_dir, "documents"))
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -75,7 +80,7 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_segments(*swapped_answers(read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op5_passage_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format)}
 
 ORACLES = {
     "op8_exact_dedup": """
