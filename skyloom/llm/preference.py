@@ -1,7 +1,7 @@
 """Preference formatting: chosen and rejected conversations as one prompt and two masked completions.
 
-Turns are ordered by number, role and text. The longest common prefix of two such sequences ends at the smallest turn
-that only one of them has, so it takes one grouping of the turns of both sides and a minimum per pair. Nothing gathers a
+Turns are ordered by number, role and text, and counted on each side. The longest common prefix ends at the first count
+that only one side has with this role and text, so it takes one grouping of both sides and a minimum per pair. Nothing gathers a
 whole conversation: the result has a row per turn, each with its rendered text, its place in the string of its part, and
 the span that a loss may see. ``assembled`` joins the strings of pairs that fit a row.
 """
@@ -38,25 +38,25 @@ def preference_segments(
 
     The prompt holds the longest common prefix once and is masked whole. In completions, turns of ``trained_role`` are
     trained on: text and end mark, not the header. Null roles and texts count as empty; a turn given twice on a
-    side counts once; turns of one number go by role and text, and both sides number their turns alike; rows without a pair id stay out. Pairs with only one side have an empty
+    side counts once; turns of one number go by role and text, and the sides may number them differently; rows without a pair id stay out. Pairs with only one side have an empty
     prompt and one completion; pairs without any difference state no preference and are left out. Empty tables give an
     empty result.
     """
     names = pair_col, turn_col, role_col, text_col
     rows = _turns(chosen, *names, "chosen").unionByName(_turns(rejected, *names, "rejected"))
     has = lambda side: F.max((F.col("side") == side).cast("int")) == 1
-    both = rows.groupBy("pair", "turn", "role", "text").agg(has("chosen").alias("in_chosen"), has("rejected").alias("in_rejected"))
+    place = F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 40))).cast("long")
+    counted = with_ordinal(rows.distinct(), ["pair", "side"], [F.asc_nulls_first("turn"), "role", "text"], [place], "pos")
+    both = counted.groupBy("pair", "pos", "role", "text").agg(has("chosen").alias("in_chosen"), has("rejected").alias("in_rejected"))
     both = stored(both)  # read twice
-    at = F.struct("turn", "role", "text")  # a null turn comes first
-    ends = both.where("NOT (in_chosen AND in_rejected)").groupBy("pair").agg(F.min(at).alias("end"))
-    parts = F.when(at < F.col("end"), F.array(F.lit("prompt"))).otherwise(
+    ends = both.where("NOT (in_chosen AND in_rejected)").groupBy("pair").agg(F.min("pos").alias("end"))
+    parts = F.when(F.col("pos") < F.col("end"), F.array(F.lit("prompt"))).otherwise(
         F.filter(F.array(F.when(F.col("in_chosen"), F.lit("chosen")), F.when(F.col("in_rejected"), F.lit("rejected"))), lambda p: p.isNotNull())
     )
-    shown = both.join(ends, "pair").select("pair", "turn", "role", "text", F.explode(parts).alias("part"))
+    shown = both.join(ends, "pair").select("pair", "pos", "role", "text", F.explode(parts).alias("part"))
     shown = shown.withColumn("rendered", _rendered(F.col("role"), F.col("text")))
-    place = F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 40))).cast("long")
     sums = {"position": F.lit(1).cast("long"), "start": F.length("rendered").cast("long")}
-    placed = running_total(shown, ["pair", "part"], [F.asc_nulls_first("turn"), "role", "text"], [place], sums, inclusive=False)
+    placed = running_total(shown, ["pair", "part"], ["pos"], [F.floor(F.col("pos") / SLICE).cast("long")], sums, inclusive=False)
     train = (F.col("part") != "prompt") & (F.col("role") == trained_role)
     head = F.length(F.col("role")) + len(OPEN) + 1
     return placed.select(

@@ -173,3 +173,17 @@ def test_run_gives_the_last_stage(spark, stages):
     got = cp.run(spark, sf)
     assert got.agg(F.sum("length")).first()[0] == frames[-1].agg(F.sum("length")).first()[0]
     assert {r[0] for r in key(got)} == {r[0] for r in key(frames[-1])}
+
+
+def test_sides_that_number_turns_differently(spark):
+    from skyloom.llm.preference import preference_segments
+
+    side = lambda numbers, last: spark.createDataFrame(
+        [(1, n, r, t) for n, (r, t) in zip(numbers, [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", last)])],
+        "pair_id long, turn long, role string, text string",
+    )
+    for numbers in ([1, 2, 3, 4], [0, 1, 5, 9]):
+        rows = preference_segments(side([0, 1, 2, 3], "x"), side(numbers, "y")).collect()
+        assert sorted((r.part, r.position, r.rendered[-12:-11]) for r in rows) == [
+            ("chosen", 0, "x"), ("prompt", 0, "a"), ("prompt", 1, "b"), ("prompt", 2, "c"), ("rejected", 0, "y"),
+        ]
