@@ -11,6 +11,7 @@ from skyloom.llm.mixing import mixing_rates
 from skyloom.llm.packing import pack
 from skyloom.llm.paragraphs import repeated_paragraphs
 from skyloom.llm.passages import repeated_passages
+from skyloom.llm.periodic_runs import digest, periodic_runs, repeating_tail
 from skyloom.llm.preference import preference_segments, swapped_answers
 from skyloom.llm.quality import quality_scores
 from skyloom.llm.simhash import simhash_components
@@ -80,7 +81,11 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_segments(*swapped_answers(read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op5_passage_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(periodic_runs(read(spark, sf_dir, "documents"), prepare=repeating_tail))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op5_passage_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format, op12_periodic_runs)}
 
 ORACLES = {
     "op8_exact_dedup": """
