@@ -71,6 +71,11 @@ def scratch_mark() -> int:
     return len(_made)
 
 
+def made_since(mark: int) -> list[str]:
+    """Scratch paths after the mark."""
+    return _made[mark:]
+
+
 def remove_scratch(spark: SparkSession, since: int, keep: Collection[str] = ()) -> None:
     """Delete what was stored after the mark, but for the paths to keep. No frame that reads it may be used any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path
