@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from skyloom.llm.common import stored
+from skyloom.session import made_since, remove_scratch, scratch_mark
 
 
 class Forest:
@@ -62,11 +63,15 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has two comparable columns ``a`` and ``b``; order, repeats and self-links do not matter, nulls are no nodes.
     """
+    spark = links.sparkSession
+    mark = scratch_mark()
     now = stored(links.select("a", "b").where("a <> b").distinct())
     seen = _state(now)
     while seen[0]:
+        before = scratch_mark()
         now = stored(_small_star(_large_star(now)))
         new = _state(now)
+        remove_scratch(spark, mark, made_since(before))  # the rounds before
         if new == seen:
             break
         seen = new

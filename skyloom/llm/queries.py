@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skyloom.llm.ann import search
 from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_groups
+from skyloom.llm.minhash import near_duplicates
 from skyloom.llm.mixing import mixing_rates
 from skyloom.llm.packing import pack
 from skyloom.llm.paragraphs import repeated_paragraphs
@@ -85,7 +86,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(periodic_runs(read(spark, sf_dir, "documents"), prepare=repeating_tail))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op5_passage_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format, op12_periodic_runs)}
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op5_passage_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format, op12_periodic_runs, op13_minhash_near_dedup)}
 
 ORACLES = {
     "op8_exact_dedup": """
