@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyloom.llm.ann import search
+from skyloom.llm.collocations import collocations
 from skyloom.llm.common import read
 from skyloom.llm.exact_dedup import exact_groups
 from skyloom.llm.minhash import near_duplicates
@@ -82,6 +83,10 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_segments(*swapped_answers(read(spark, sf_dir, "conversations")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(periodic_runs(read(spark, sf_dir, "documents"), prepare=repeating_tail))
 
@@ -90,13 +95,31 @@ def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op5_passage_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format, op12_periodic_runs, op13_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_packing, op4_mixing, op5_paragraph_dedup, op5_passage_dedup, op6_quality_classifier, op7_nearest_neighbours, op8_exact_dedup, op9_token_counts, op10_preference_format, op11_collocations, op12_periodic_runs, op13_minhash_near_dedup)}
 
 ORACLES = {
     "op8_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM d""",
+    "op11_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM placed, (VALUES (1), (2), (3), (4)) AS s(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 30),
+cuts AS (SELECT lang, m, phrase, f AS a, w, unnest(range(1, m)) AS k FROM often WHERE m > 1),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:m], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, f, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m)) AS i FROM often WHERE m > 2), (VALUES (2), (3)) AS t(s) WHERE s < m AND i + s - 1 <= m),
+longer AS (SELECT lang, phrase, max(f) AS longest FROM inside GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON b.lang = g.lang AND b.phrase = g.phrase WHERE longest IS NULL OR 100 * longest < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON ranked.lang = totals.lang WHERE rank <= 2000""",
     "op10_preference_format": """
 WITH rows AS (SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
