@@ -105,7 +105,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
     "op11_collocations": r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS w FROM pieces),
+words AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
 placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM placed, (VALUES (1), (2), (3), (4)) AS s(m) WHERE i + m - 1 <= len(w)),
 f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
