@@ -30,7 +30,7 @@ COVERED = (80, 100)  # share of a phrase's occurrences inside a longer one at wh
 TOP = 2000  # phrases reported per language
 SCALE = 2_000_000
 FILTER_BITS = 1 << 27  # marks of survivors, at any size of the corpus
-BYTES_AT_ONCE = 1 << 23
+BYTES_AT_ONCE = 3 << 20
 _FOLD = bytearray(range(256))
 _FOLD[65:91] = bytes(range(97, 123))
 for _c in b".,;:!?\n\x0b\x0c\r":
@@ -49,6 +49,7 @@ class Stretch:
         number = Numbers({b"": 0, b"\n": 1})
         words = b"\n".join(texts).replace(b"\n", b" \n ").split(b" ")
         ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        del words
         self.lang, self.ids, self.words = lang, ids[ids != 0], list(number)
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
@@ -107,7 +108,9 @@ def summaries(rows: DataFrame, parts: int) -> DataFrame:
         borders = np.array([-(-p * 2**32 // parts) << 32 for p in range(1, parts)], np.uint64)
         for held in stretches(batches):
             found = [h for s in held for _, _, h in s.grams()]
-            h = np.sort(np.concatenate(found))
+            h = np.concatenate(found)
+            del found
+            h.sort()
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
             counts = np.diff(np.concatenate((first, [len(h)])))
             cuts = np.concatenate(([0], np.searchsorted(h, borders), [len(h)]))
