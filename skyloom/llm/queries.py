@@ -113,7 +113,7 @@ totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY
 often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 30),
 cuts AS (SELECT lang, m, phrase, f AS a, w, unnest(range(1, m)) AS k FROM often WHERE m > 1),
 scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score FROM cuts c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:m], ' ')),
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (SELECT lang, f, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m)) AS i FROM often WHERE m > 2), (VALUES (2), (3)) AS t(s) WHERE s < m AND i + s - 1 <= m),
 longer AS (SELECT lang, phrase, max(f) AS longest FROM inside GROUP BY ALL),
