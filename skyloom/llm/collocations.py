@@ -215,7 +215,7 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, least: int =
     parts = partitions(spark)
     bits = max(8, filter_bits // parts // 8 * 8)
     marks = bytearray(parts * bits // 8)
-    for r in survivors(summaries(rows, parts), least, bits).toLocalIterator():  # ``filter_bits`` at most
+    for r in survivors(summaries(rows, parts), least, bits).collect():  # ``filter_bits`` at most
         marks[r["part"] * bits // 8 : (r["part"] + 1) * bits // 8] = zlib.decompress(r["marks"])
     partial = counted(rows, spark.sparkContext.broadcast(bytes(marks)), parts, bits)
     return stored(partial.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0)))
