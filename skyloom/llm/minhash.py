@@ -73,22 +73,24 @@ def by_signature(matches: int):
     return link
 
 
-def by_sets(length: int, similarity: tuple[int, int]):
-    """Linker: a digest (16 bytes) and a text each; whole sets of shingles are compared. Texts of another digest are none."""
+def by_sets(length: int, similarity: tuple[int, int], keyed: bool = True):
+    """Linker of texts by their whole sets of shingles. With ``keyed``, the digest of the set (16 bytes) stands before each
+    text, and a text of another digest is linked with nothing."""
     top, bottom = similarity
+    lead = 16 if keyed else 0
 
     def link(values: pa.Array) -> Iterator[tuple[int, int]]:
         import xxhash
 
         all_values, counts = [], []
         for _, part in by_bytes(values):
-            v, c = shingle_sets([p[16:] for p in part], length)
+            v, c = shingle_sets([p[lead:] for p in part], length)
             all_values.append(v)
             counts.append(c)
         flat, sizes = np.concatenate(all_values), np.concatenate(counts)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        right = np.array([xxhash.xxh3_128_digest(flat[lo:hi].tobytes()) == v.as_py()[:16] for lo, hi, v in zip(starts.tolist(), ends.tolist(), values)])
+        right = np.ones(len(sizes), bool) if not keyed else np.array([xxhash.xxh3_128_digest(flat[lo:hi].tobytes()) == v.as_py()[:16] for lo, hi, v in zip(starts.tolist(), ends.tolist(), values)])
         flat = np.unique(flat, return_inverse=True)[1]
         here = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
 
