@@ -9,7 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skyloom.session import cut_lineage, scratch_path
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = "4m"  # bytes of a batch of rows sent to a Python worker; counted in rows alone, long texts fill its memory
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit the bytes of the batches that go to Python workers from here on."""
+    if spark.conf.get(_BATCH_BYTES, None) != BATCH:
+        spark.conf.set(_BATCH_BYTES, BATCH)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 

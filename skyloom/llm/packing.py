@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from skyloom.llm.common import stored
+from skyloom.llm.common import stored, stored_small
 from skyloom.llm.cutting_stock import plan
+from skyloom.llm.shingle_sets import by_bytes
 from skyloom.llm.word_bpe import encoder
 from skyloom.slicing import running_total, with_ordinal
 
@@ -30,17 +31,22 @@ EOS = 2
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, eos: int = EOS) -> DataFrame:
-    """``row`` (unique), ``id``, ``ids`` (little-endian, two bytes each if the vocabulary allows), ``n`` (with ``eos``)."""
+    """``row`` (unique), ``id``, ``ids`` (little-endian, four bytes each), ``n`` (with ``eos``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         end, width = np.array([eos], coder.dtype).tobytes(), np.dtype(coder.dtype).itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):  # long texts: small batches
-                part = batch.slice(lo, 256)
-                ids = [coder.encode(t.as_py()) + end for t in part.column(2)]
-                sizes = pa.array([len(x) // width for x in ids], pa.int64())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), sizes], names=["row", "id", "ids", "n"])
+            for first, texts in by_bytes(batch.column(2)):
+                ids = [coder.encode(t) + end for t in texts]
+                sizes = np.array([len(x) // width for x in ids], np.int64)
+                ends = np.concatenate(([0], np.cumsum(sizes * 4)))
+                if ends[-1] >= 1 << 31:
+                    raise ValueError("a text of over 536,870,911 tokens does not fit a row")
+                flat = np.frombuffer(b"".join(ids), coder.dtype).astype("<u4")
+                lists = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+                own = [batch.column(k).slice(first, len(texts)) for k in range(2)]
+                yield pa.record_batch([*own, lists, pa.array(sizes)], names=["row", "id", "ids", "n"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
@@ -146,29 +152,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     if length & (length - 1) or length % width:
         raise ValueError("length is a power of two and a multiple of the class width")
-    tokens = stored(encoded(docs, tokenizer, id_col, text_col))
+    tokens = stored_small(encoded(docs, tokenizer, id_col, text_col))
     found = pieces(tokens.select("row", "n"), length, width)
-    lists = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "sequence", "offset"))).alias("pieces"))
-    kind = tokens.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                n, cut = part.column(2).to_numpy(), part.column(3)
-                raw = np.frombuffer(b"".join([x.as_buffer() for x in part.column(1)]), np.uint8)
-                ids = raw.view("<u2" if len(raw) == 2 * n.sum() else "<u4").astype("<u4")
-                at, of = cut.flatten(), np.repeat(np.arange(len(n)), cut.value_lengths().to_numpy())
-                start, length, sequence, offset = at.flatten()
-                # pieces follow each other as the ids do
-                ends = np.concatenate(([0], np.cumsum(length.to_numpy() * 4))).astype(np.int32)
-                texts = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-                rows = pa.array(of)
-                yield pa.record_batch(
-                    [part.column(0).take(rows), start, length, texts, part.column(2).take(rows), sequence, offset],
-                    names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
-
-    joined = tokens.join(lists, "row").select("id", "ids", "n", "pieces")
-    out = joined.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence", "offset")).alias("pieces"))
+    cut = F.transform("pieces", lambda p: p.withField("ids", F.substring(F.col("ids"), (p["start"] * 4 + 1).cast("int"), (p["length"] * 4).cast("int"))))
+    out = tokens.join(lists, "row").select("id", "n", F.explode(cut).alias("p"))
+    return out.select(
+        F.col("id").alias(id_col), "p.start", "p.length", "p.ids", F.col("n").alias("doc_tokens"), F.col("p.sequence").alias("sequence_id"), "p.offset"
+    )

@@ -12,7 +12,7 @@ import sys
 import types
 from array import array
 
-REMEMBERED = 250_000  # chunks kept per worker
+REMEMBERED = 150_000  # chunks kept per worker
 LONGEST_KEPT = 40  # bytes; longer chunks are encoded each time
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(rf"[!-~À-ÖØ-öø-ÿ]+")
