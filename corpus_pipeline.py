@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm.common import read
+from skyloom.llm.common import bounded_batches, read
 from skyloom.llm.exact_dedup import exact_survivors
 from skyloom.llm.mixing import mixed
 from skyloom.llm.packing import pack
@@ -24,11 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id stays."""
+    bounded_batches(spark)
     return exact_survivors(docs, keep="smallest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by SimHash the one with the smallest id stays."""
+    bounded_batches(spark)
     return one_of_each(docs)
 
 
@@ -39,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
+    bounded_batches(spark)
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
