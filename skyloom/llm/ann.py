@@ -185,22 +185,21 @@ def search(
     """``query_id, rank, vec_id, score``: for each row where ``is_query(id)`` holds the ``k`` nearest found among all others.
 
     Score is the cosine in double precision on the given vectors; ties go to the smaller id. Rows with a null id, a null
-    or zero vector, or a null or non-finite component take no part, nor do vectors whose length is not the one most
-    common in the sample. Rows that repeat an id count once. Other columns are ignored; no usable rows give no result.
+    or zero vector, or a null or non-finite component take no part; usable vectors of different lengths are an error. Rows
+    that repeat an id count once. Other columns are ignored; no usable rows give no result.
     """
     rows = stored(usable(vectors, id_col, vector_col))
     spark = vectors.sparkSession
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()  # bounded
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = [len(r.v) for r in sample]
-    size = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    rows = rows.where(F.size("v") == size)
-    parts = 1
-    total = rows.count()
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if seen["least"] != seen["most"]:
+        raise ValueError(f"vectors have {seen['least']} to {seen['most']} components: no cosine between them")
+    parts, total = 1, seen["n"]
     while parts < MOST_PARTS and parts * 2 * ROWS_PER_PART <= total:
         parts *= 2
-    index = fit(np.array([r.v for r in sample if len(r.v) == size]), parts, k)
+    index = fit(np.array([r.v for r in sample]), parts, k)
 
     table = stored(placed(rows, index, 1))
     queries = stored(placed(rows.where(is_query(F.col("id"))), index, index.probes))

@@ -23,7 +23,6 @@ from skyloom.llm.common import stored
 BUCKETS = 4096
 MAX_LABELLED = 5_000  # labelled documents that the classifier is fitted on, by smallest hash of the id
 EVIDENCE = 50.0  # trigrams that a text counts for at most: keeps memberships soft
-LEAST_SHARE = 0.5  # of the tokens of the corpus that a default total asks for, however scarce a domain is
 TOLERANCE, MOST_ROUNDS = 1e-4, 40
 
 
@@ -112,6 +111,16 @@ class Fit:
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         return rates_after(posteriors, self.steps, self.most_rate)
 
+    @property
+    def shortfall(self) -> tuple[float, ...]:
+        """Expected tokens that each domain lacks of its target (below 0: has beyond it)."""
+        return tuple(t - n if t else 0.0 for t, n in zip(self.targets, self.totals))
+
+    @property
+    def met(self) -> bool:
+        """Whether all targets are reached within the tolerance."""
+        return max(map(abs, self.shortfall), default=0.0) <= TOLERANCE * sum(self.targets)
+
 
 def rates_after(posteriors: np.ndarray, steps, most_rate: float) -> np.ndarray:
     """Accelerated projected gradient from rate 1: each step moves from a point ahead by posterior . step."""
@@ -143,27 +152,20 @@ def _totals(table: DataFrame, size: int, steps, most_rate: float) -> tuple[np.nd
     return out[:size], out[size:]
 
 
-def _judged(table: DataFrame, size: int) -> np.ndarray:
-    """Tokens of the documents that each domain is the most probable one of."""
-    best = F.array_position("posterior", F.array_max("posterior")) - 1
-    out = np.zeros(size)
-    for r in table.groupBy(best.alias("k")).agg(F.sum("tokens").alias("n")).collect():
-        out[r["k"]] = r["n"]
-    return out
-
-
 def fit_rates(
-    table: DataFrame, weights: dict[str, float], most_rate: float = 1.0, total: float | None = None, labelled: np.ndarray | None = None
+    table: DataFrame, weights: dict[str, float], most_rate: float = 1.0, total: float | None = None, labelled: np.ndarray | None = None,
+    least_share: float = 0.0,
 ) -> Fit:
-    """``table``: stored ``tokens`` and ``posterior``. Domains without labelled documents, or that are nowhere the most
-    probable one, are absent: their soft residue gets no target, and they leave their weight to the others.
+    """``table``: stored ``tokens`` and ``posterior``. Domains without labelled documents are absent: their soft residue
+    gets no target, and they leave their weight to the others.
 
-    ``total`` defaults to the most tokens that keep every present domain within ``most_rate`` times what it has, but to
-    no less than ``LEAST_SHARE`` of all tokens. A domain too scarce for that is taken as far as least squares allow.
+    ``total`` defaults to the most tokens that keep every present domain within ``most_rate`` times what it has.
+    ``least_share`` of all tokens, if given, is the least default total. A domain too
+    scarce for its target is taken as far as least squares allow; ``Fit.shortfall`` says by how much it is missed.
     """
     size = len(weights)
     has, _ = _totals(table, size, (), 1.0)
-    present = _judged(table, size) > 0
+    present = has > 0
     if labelled is not None:
         present &= labelled
     w = np.array(list(weights.values()), float) * present
@@ -171,7 +173,7 @@ def fit_rates(
         return Fit((), most_rate, (0.0,) * size, (0.0,) * size)
     w = w / w.sum()
     if total is None:
-        total = max(most_rate * min(h / x for h, x in zip(has, w) if x > 0), min(1.0, most_rate) * LEAST_SHARE * has.sum())
+        total = max(most_rate * min(h / x for h, x in zip(has, w) if x > 0), min(1.0, most_rate) * least_share * has.sum())
     wanted = w * total
     scale = np.where(present, has, 1.0)
     steps: list[tuple[float, ...]] = []
@@ -199,36 +201,46 @@ def _rate(posterior: Column, fit: Fit) -> Column:
     return rate(posterior)
 
 
-def _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, total):
+def _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, total, least_share):
     names = list(weights)
     ids = labels.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL")
     model = train(docs, ids, names, id_col, text_col, domain_col)
     text = F.col(f"`{text_col}`")
     table = stored(docs.select(F.col(f"`{id_col}`").alias("id"), token_size(text).alias("tokens"), memberships(text, model).alias("posterior")))
-    return names, model, table, fit_rates(table, weights, most_rate, total, model.labelled)
+    return names, model, table, fit_rates(table, weights, most_rate, total, model.labelled, least_share)
 
 
 def mixing_rates(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-    most_rate: float = 1.0, total: float | None = None,
+    most_rate: float = 1.0, total: float | None = None, least_share: float = 0.0,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``tokens``, ``domain`` (most probable), ``posterior``, ``rate``, ``copies``.
 
     Null and empty texts have no tokens and the posterior of the priors. Repeated rows are rated alike; null ids are
     allowed; a null domain carries no label. Other columns are ignored; an empty table gives an empty result.
     """
-    names, _, table, fit = _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, total)
+    names, _, table, fit = _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, total, least_share)
     best = F.get(F.array(*map(F.lit, names)), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     rated = table.select("id", "tokens", best.alias("domain"), "posterior", _rate(F.col("posterior"), fit).alias("rate"))
     return rated.select(F.col("id").alias(id_col), "tokens", "domain", "posterior", "rate", _copies(F.col("rate"), F.col("id")).alias("copies"))
 
 
+def mixing_report(
+    docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
+    most_rate: float = 1.0, total: float | None = None, least_share: float = 0.0,
+) -> DataFrame:
+    """``domain, target, total, shortfall, met``: what ``mixing_rates`` of the same arguments aims at and reaches."""
+    names, _, _, fit = _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, total, least_share)
+    rows = [(n, float(t), float(r), float(s), fit.met) for n, t, r, s in zip(names, fit.targets, fit.totals, fit.shortfall)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, target double, total double, shortfall double, met boolean")
+
+
 def mixed(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang",
-    most_rate: float = 1.0, total: float | None = None,
+    most_rate: float = 1.0, total: float | None = None, least_share: float = 0.0,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, as many times as ``mixing_rates`` has copies of them (at most once by default)."""
-    _, model, _, fit = _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, total)
+    _, model, _, fit = _fitted(docs, labels, weights, id_col, text_col, domain_col, most_rate, total, least_share)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rated = docs.select(row, F.col(f"`{id_col}`").alias("id"), _rate(memberships(F.col(f"`{text_col}`"), model), fit).alias("rate"))
     drawn = rated.select("row", _copies(F.col("rate"), F.col("id")).alias("copies"))

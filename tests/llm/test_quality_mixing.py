@@ -147,6 +147,29 @@ def test_mixing_with_a_scarce_language(spark):
     sharp = [0.999997, 0.000001, 0.000001, 0.000001]
     rows = [(100, sharp[-k:] + sharp[:-k]) for k in range(3) for _ in range(50)] + [(1, [0.1, 0.2, 0.3, 0.4])]
     table = spark.createDataFrame(rows, "tokens long, posterior array<double>")
-    fit = mixing.fit_rates(table, LANGUAGE_WEIGHTS)
-    assert sum(fit.totals) > 0.4 * 15_001
+    fit = mixing.fit_rates(table, LANGUAGE_WEIGHTS, least_share=0.5)
+    assert sum(fit.totals) > 0.4 * 15_001 and not fit.met and fit.shortfall[3] > 0.9 * fit.targets[3]
     assert fit.rates(np.array([[0.1, 0.2, 0.3, 0.4]]))[0] > 0.9
+
+
+def test_scarce_domain_meets_its_target_or_says_what_it_lacks(spark):
+    sharp = [0.97, 0.01, 0.01, 0.01]
+    rows = [(100, sharp[-k:] + sharp[:-k]) for k, n in enumerate((200, 200, 200, 20)) for _ in range(n)]
+    table = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+    fit = mixing.fit_rates(table, {"a": 0.3, "b": 0.3, "c": 0.3, "d": 0.1})
+    assert not fit.met and 0 < fit.shortfall[3] < 0.2 * fit.targets[3]  # the total counts what others have of it
+    less = mixing.fit_rates(table, {"a": 0.3, "b": 0.3, "c": 0.3, "d": 0.1}, total=15_000)
+    assert less.met and np.allclose(np.array(less.totals) / sum(less.totals), [0.3, 0.3, 0.3, 0.1], atol=1e-3)
+    forced = mixing.fit_rates(table, {"a": 0.3, "b": 0.3, "c": 0.3, "d": 0.1}, least_share=0.9)
+    assert not forced.met and forced.shortfall[3] > 0
+
+
+def test_one_document_more_changes_no_domain_into_absent(spark):
+    few = [(100, [0.9, 0.1])] * 50
+    fit = mixing.fit_rates(spark.createDataFrame(few + [(100, [0.6, 0.4])], "tokens long, posterior array<double>"), {"a": 0.8, "b": 0.2})
+    assert min(fit.targets) > 0  # nowhere the most probable one, but a domain all the same
+
+
+def test_report(spark, docs, labels):
+    rows = {r.domain: r for r in mixing.mixing_report(docs, labels, LANGUAGE_WEIGHTS).collect()}
+    assert set(rows) == set(LANGUAGE_WEIGHTS) and all(r.met and abs(r.shortfall - (r.target - r.total)) < 1e-6 for r in rows.values())
