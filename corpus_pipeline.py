@@ -35,8 +35,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that languages have their shares of tokens; none is drawn twice."""
-    return mixed(docs, read(spark, sf_dir, "labels"), LANGUAGE_WEIGHTS)
+    """Documents are drawn so that languages have their shares of tokens; none is drawn twice.
+
+    Half of the tokens are kept at least: a language too scarce for its share of that is taken whole.
+    """
+    return mixed(docs, read(spark, sf_dir, "labels"), LANGUAGE_WEIGHTS, least_share=0.5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
