@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.functions.arrays import pad_right
 from skyloom.operators.reshape import seeded_hash
-from skyloom.session import cut_lineage
 from skyloom.slicing import hash_slices, magnitude_slices, ranged, running_total, with_ordinal
 
-# fixed values: every white-space character, as one regular-expression class
-SPACES = "[\\u0009-\\u000d\\u001c-\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+# fixed values: every white-space character, as one regular-expression class; the first test decides for plain letters
+SPACES = "[[^!-~]&&[\\u0009-\\u000d\\u001c-\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]+"
+
+BLOCK_BYTES = 16 << 20  # text that meets its dictionary in one step of a task
 
 
 def _pieces(col, mode: str, lower: bool, delimiter: str | None) -> Column:
@@ -43,8 +46,8 @@ def build_vocab(df: DataFrame, text: str, level: str = "word", specials: Sequenc
                 max_size: int | None = None, lower: bool = False, delimiter: str | None = None) -> DataFrame:
     """(token, token_id, n): specials first, then tokens by falling count, ties by token.
 
-    Counts combine map-side, so a token that fills a third of the corpus costs one row per task. The vocabulary is
-    stored, so that encoding does not count the corpus again.
+    Counts combine map-side, so a token that fills a third of the corpus costs one row per task. The counts are stored
+    in ranges of their order, so that encoding does not count the corpus again; numbers follow from the ranges' sizes.
     """
     tokens = df.select(F.explode(_pieces(text, level, lower, delimiter)).alias("token"))
     if delimiter is None or level != "word":
@@ -59,30 +62,48 @@ def build_vocab(df: DataFrame, text: str, level: str = "word", specials: Sequenc
         lead = df.sparkSession.range(1).select(F.inline(listed)).withColumn("n", F.lit(None).cast("long"))
         ranked = ranked.where(~F.col("token").isin(*specials))
     body = ranked.select("token", (F.col("_no") - 1 + len(specials)).cast("int").alias("token_id"), "n")
-    return cut_lineage(lead.unionByName(body) if specials else body)
+    return lead.unionByName(body) if specials else body
+
 
+def _looked_up(df: DataFrame, id_col: str, items: Column, weight: Column, table: DataFrame, key: str, value: str, default=None) -> DataFrame:
+    """(id, ``_found``): each entry of ``items`` replaced by its ``value`` in ``table``, or by ``default``.
 
-def _with_ids(tokens: DataFrame, vocab: DataFrame, unk: int) -> DataFrame:
-    """Token ids by an outer join. Its size decides how: a small vocabulary is sent to the texts, a large one meets them
-    in a shuffle whose hot tokens the engine splits."""
-    return tokens.join(vocab.select("token", "token_id"), "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(unk)))
+    Rows form blocks of about ``BLOCK_BYTES`` by their id. Only the distinct entries of a block meet the table, whatever
+    its size, so an entry that fills a third of the corpus costs one row per block; the answers come back as the
+    block's dictionary, and whole arrays are replaced by it.
+    """
+    least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.agg(F.ceil(F.coalesce(F.sum(weight.cast("long")), F.lit(0)) / BLOCK_BYTES)).scalar()
+    placed = df.withColumn("_block", F.pmod(F.xxhash64(id_col), F.greatest(blocks, F.lit(least)))).repartition("_block")
+    rows = placed.select("_block", id_col, items.alias("_items"))
+    # the rows of a block already share a partition: neither the distinct entries nor the last step move texts again
+    entries = placed.select("_block", F.explode(F.array_distinct(items)).alias(key)).distinct()
+    answers = entries.join(table.select(key, value), key).select(F.col("_block").alias("_at"), key, value)
+    kind = df.schema[id_col].dataType.simpleString()
+    out = f"`{id_col}` {kind}, _found array<{table.schema[value].dataType.simpleString()}>"
+
+    def replace(block: pa.Table, known: pa.Table) -> pa.Table:
+        arrays, names = block["_items"].combine_chunks(), known[key].combine_chunks()
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(arrays), 0))
+        places = pc.index_in(arrays.flatten(), value_set=names)
+        found = known[value].combine_chunks().take(places)
+        found = found if default is None else pc.fill_null(found, default)
+        starts = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+        return pa.table({id_col: block[id_col], "_found": pa.ListArray.from_arrays(starts, found)})
+
+    return rows.groupBy("_block").cogroup(answers.groupBy("_at")).applyInArrow(replace, out)
 
 
 def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, l_max: int | None = None, specials: Sequence[str] = ("<unk>",),
            bos: str | None = None, eos: str | None = None, unk: str = "<unk>", level: str = "word", lower: bool = False,
            delimiter: str | None = None) -> DataFrame:
     """(id, ``input_ids``, ``length``); ``l_max`` counts the added begin and end marks. Empty texts give empty rows."""
-    # documents move to their partition as texts, which are smaller than their tokens; the regrouping then stays local
-    df = df.select(id_col, text).repartition(id_col)
     tokens = tokenize(text, level, lower, delimiter)
     if l_max is not None:
         tokens = F.slice(tokens, 1, max(l_max - (bos is not None) - (eos is not None), 0))
     specials = list(specials)
-    long = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
-    coded = _with_ids(long, vocab, specials.index(unk))
-    packed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))))
-    rows = coded.groupBy(id_col).agg(F.transform(packed, lambda s: s["token_id"]).alias("ids"))
-    parts = [F.col("ids")]
+    rows = _looked_up(df.select(id_col, text), id_col, tokens, F.octet_length(text), vocab, "token", "token_id", specials.index(unk))
+    parts = [F.col("_found")]
     if bos is not None:
         parts.insert(0, F.array(F.lit(specials.index(bos))))
     if eos is not None:
@@ -91,12 +112,10 @@ def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, l_max: int |
 
 
 def decode(df: DataFrame, id_col: str, arr: str, vocab: DataFrame, exclude: Sequence[int] = (), sep: str = " ") -> DataFrame:
-    """Ids back to text, some ids left out."""
+    """Ids back to text, some ids and those without a token left out."""
     kept = F.filter(arr, lambda i: i.isNotNull() & ~i.isin(*exclude)) if exclude else F.filter(arr, lambda i: i.isNotNull())
-    long = df.select(id_col, F.posexplode_outer(kept).alias("pos", "token_id"))
-    joined = long.join(vocab.select("token_id", "token"), "token_id", "left")
-    packed = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token"))))
-    return joined.groupBy(id_col).agg(F.array_join(F.transform(packed, lambda s: s["token"]), sep).alias("text"))
+    rows = _looked_up(df.select(id_col, arr), id_col, kept, F.size(arr) * 4, vocab, "token_id", "token")
+    return rows.select(id_col, F.array_join("_found", sep).alias("text"))
 
 
 def pad(df: DataFrame, arr: str, length, value, by: Sequence[str] = ()) -> DataFrame:
