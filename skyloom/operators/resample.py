@@ -6,14 +6,16 @@ import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyloom.functions.calendar import parse_period, period_seconds, period_start
 from skyloom.operators.quantiles import exact_quantiles
+from skyloom.slicing import ranged, running_total, with_ordinal
 
 logger = logging.getLogger(__name__)
 
 DEFAULT_OPS = ("sum", "min", "max", "median", "mean", "std")
+COPIES = 8192  # equal rows numbered in one array
 
 
 def _first(c: str, at: str) -> Column:
@@ -191,8 +193,6 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 def series_profile(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, slices) -> DataFrame:
     """Length, missing values and index (from 0) of the first known value of each series."""
-    from skyloom.slicing import with_ordinal
-
     v = F.col(value)
     known = v.isNotNull() & ~F.isnan(v.cast("double"))
     numbered = with_ordinal(df, keys, order, slices)
@@ -202,6 +202,24 @@ def series_profile(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     )
 
 
+def _copies(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_copy``: the number, from 1, of a row among those of its key, in the order of the values.
+
+    Equal rows are counted before they move, and the rows of a key lie in even ranges of their values, so one key may
+    hold any share of the rows.
+    """
+    cols = [c for c in df.columns if c != key]
+    if not cols:
+        return df.withColumn("_copy", F.lit(1).cast("long"))
+    names = [F.col(f"`{c}`") for c in [key, *cols]]
+    placed = ranged(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), *names)
+    begun = running_total(placed, [key], names[1:], [F.col("_range")], {"_before": F.col("_n")}, inclusive=False)
+    # two steps, so that very many equal rows are no single array
+    parts = begun.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(COPIES))))
+    last = F.least(F.col("_part") + COPIES, F.col("_n"))
+    return parts.select(*names, F.explode(F.sequence(F.col("_before") + F.col("_part") + 1, F.col("_before") + last)).alias("_copy"))
+
+
 def align_sources(dfs: Sequence[DataFrame], key: str) -> DataFrame:
     """Every date of any source with each source's columns: one union and one aggregation, not a join chain.
 
@@ -211,9 +229,7 @@ def align_sources(dfs: Sequence[DataFrame], key: str) -> DataFrame:
     cols = [c for d in dfs for c in d.columns if c != key]
     if len(set(cols)) != len(cols):
         raise ValueError("sources share column names; rename them first")
-    copies = lambda d: Window.partitionBy(key).orderBy(*[F.col(f"`{c}`") for c in d.columns if c != key])
-    numbered = [d.withColumn("_copy", F.row_number().over(copies(d)) if len(d.columns) > 1 else F.lit(1)) for d in dfs]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_copies(d, key) for d in dfs])
     return stacked.groupBy(key, "_copy").agg(*[F.max(c).alias(c) for c in cols]).drop("_copy")
 
 

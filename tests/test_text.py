@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from skyloom.operators import text as tx
 
 # fixed values: white space of the tokenizer
-WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-ODD = "aZ!~0\x7f\x08\x0e\x1b\xe9῿​‐、中\U0001f600"
+CODES = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+WHITE = "".join(map(chr, CODES))
+# plain characters, and others next to white space
+ODD = "aZ!~0" + "".join(map(chr, [8, 14, 27, 127, 134, 161, 5761, 8191, 8203, 8231, 8234, 8240, 8288, 12289, 0x1F600]))
 
 
 def words(text):
