@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skyloom.operators.quantiles import exact_quantiles
 from skyloom.session import cut_lineage
@@ -14,52 +14,68 @@ from skyloom.slicing import own_rows, row_frames
 
 
 # --- weight of evidence --------------------------------------------------------------------------------------------
-def _merge_bins(pdf: pd.DataFrame, min_total: float, min_class: float, stop_limit: float) -> pd.DataFrame:
-    """Merge the few starting bins of one variable: small ones first, then neighbours while IV falls little."""
-    pdf = pdf.sort_values("bin")
-    missing, known = pdf[pdf["bin"] < 0], pdf[pdf["bin"] >= 0]
-    rows = known[["hi", "n", "pos"]].to_numpy(dtype="float64").tolist()
-    all_n, all_pos = pdf["n"].sum(), pdf["pos"].sum()
-    all_neg = all_n - all_pos
-
-    def parts(r):
-        p, q = max(r[2], 0.5) / max(all_pos, 1), max(r[1] - r[2], 0.5) / max(all_neg, 1)
-        woe = float(np.log(p / q))
-        return woe, (p - q) * woe
-
-    iv = lambda rs: sum(parts(r)[1] for r in rs)
-    join = lambda rs, i: rs[:i] + [[rs[i + 1][0], rs[i][1] + rs[i + 1][1], rs[i][2] + rs[i + 1][2]]] + rs[i + 2:]
-    small = lambda r: r[1] < min_total * all_n or r[2] < min_class * all_pos or r[1] - r[2] < min_class * all_neg
-    while len(rows) > 1:
-        bad = [i for i, r in enumerate(rows) if small(r)]
-        if not bad:
-            break
-        i = bad[0]
-        sides = [s for s in (i - 1, i) if 0 <= s < len(rows) - 1]
-        rows = join(rows, min(sides, key=lambda s: abs(parts(rows[s])[0] - parts(rows[s + 1])[0])))
-    while len(rows) > 2:
-        before = iv(rows)
-        best = max((join(rows, i) for i in range(len(rows) - 1)), key=iv)
-        if before <= 0 or (before - iv(best)) / before > stop_limit:
-            break
-        rows = best
-    if len(missing):
-        rows.append([np.nan, float(missing["n"].sum()), float(missing["pos"].sum())])
-    total = iv(rows)
-    n_known = len(rows) - (1 if len(missing) else 0)
-    out = [
-        (pdf["var"].iloc[0], i, i >= n_known, None if i >= n_known - 1 else r[0], int(r[1]), int(r[2]), parts(r)[0], total)
-        for i, r in enumerate(rows)
-    ]
-    return pd.DataFrame(out, columns=["var", "bin", "is_missing", "hi", "n", "pos", "woe", "iv"]).astype({"hi": "float64"})
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _evidence(n: Column, pos: Column) -> tuple[Column, Column]:
+    """(weight of evidence, part of the information value) of a bin with ``n`` rows, ``pos`` of them positive."""
+    p = F.greatest(pos, F.lit(0.5)) / F.greatest("_pos", F.lit(1))
+    q = F.greatest(n - pos, F.lit(0.5)) / F.greatest(F.col("_n") - F.col("_pos"), F.lit(1))
+    woe = F.log(p / q)
+    return woe, (p - q) * woe
+
+
+def _merge_step(bins: Column, min_total: float, min_class: float, stop_limit: float) -> Column:
+    """Bins after one merge of two neighbours; the same bins if nothing is left to merge.
+
+    The first bin that is too small goes to the side with the nearer evidence. Once none is too small, the two whose
+    merging costs least information merge, unless that is more than ``stop_limit`` of all; two bins always stay.
+    Equal choices (to 12 digits) go to the lower bins.
+    """
+
+    def weighed(b: Column) -> Column:
+        woe, iv = _evidence(b["n"], b["pos"])
+        neg, all_neg = b["n"] - b["pos"], F.col("_n") - F.col("_pos")
+        small = (b["n"] < min_total * F.col("_n")) | (b["pos"] < min_class * F.col("_pos")) | (neg < min_class * all_neg)
+        return F.struct(b["hi"].alias("hi"), b["n"].alias("n"), b["pos"].alias("pos"), woe.alias("woe"), iv.alias("iv"), small.alias("small"))
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(b["hi"].alias("hi"), (a["n"] + b["n"]).alias("n"), (a["pos"] + b["pos"]).alias("pos"))
+
+    def merged(bs: Column) -> Column:
+        size = F.size(bs)
+        at = F.array_position(F.transform(bs, lambda b: b["small"]), True)  # from 1; 0: no bin is too small
+
+        def pair(i: Column) -> Column:  # bins i and i + 1, from 1
+            a, b = F.get(bs, i - 1), F.get(bs, i)
+            cost = a["iv"] + b["iv"] - _evidence(a["n"] + b["n"], a["pos"] + b["pos"])[1]
+            return F.struct(F.round(F.when(at > 0, F.abs(a["woe"] - b["woe"])).otherwise(cost), 12).alias("cost"), i.alias("i"))
+
+        beside = lambda i: (at == 0) | (i == at) | (i == at - 1)
+        best = F.array_min(F.transform(F.filter(F.sequence(F.lit(1), size - 1), beside), pair))
+        total = F.aggregate(bs, F.lit(0.0), lambda acc, b: acc + b["iv"])
+        plain = F.transform(bs, lambda b: F.struct(b["hi"].alias("hi"), b["n"].alias("n"), b["pos"].alias("pos")))
+
+        def apply(x: Column) -> Column:
+            goes = (at > 0) | ((size > 2) & (total > 0) & (x["cost"] <= stop_limit * total))
+            one = F.array(joined(F.get(bs, x["i"] - 1), F.get(bs, x["i"])))
+            return F.when(goes, F.concat(F.slice(plain, F.lit(1), x["i"] - 1), one, F.slice(plain, x["i"] + 2, size))).otherwise(plain)
+
+        return F.when(size > 1, _let(best, apply)).otherwise(plain)
+
+    return _let(F.transform(bins, weighed), merged)
 
 
 def woe_fit(df: DataFrame, target: str, cols: Sequence[str], min_total: float = 0.05, min_class: float = 0.001,
             stop_limit: float = 0.1) -> DataFrame:
     """Bins per variable: (var, bin, is_missing, hi, n, pos, woe, iv); the last known bin is open above (``hi`` null).
 
-    Start bins hold ``min_total`` of the rows each; only their counts (at most 1 / min_total per variable) are merged.
-    The fitted bins are stored, so that applying them does not fit again.
+    Start bins hold ``min_total`` of the rows each; only their counts (at most 1 / min_total per variable) are merged,
+    as a fold over one short array per variable. Missing values are a bin of their own, rows without a target count as
+    not positive, and a variable without any value has that one bin only. The fitted bins are stored, so that applying
+    them does not fit again.
     """
     long = df.select(target, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([target], list(cols), "var", "x")
     steps = int(1 / min_total)
@@ -70,9 +86,23 @@ def woe_fit(df: DataFrame, target: str, cols: Sequence[str], min_total: float =
     binned = long.join(F.broadcast(edges), "var", "left").withColumn(
         "bin", F.when(F.col("x").isNull() | F.isnan("x"), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col("x"))))
     )
-    counts = binned.groupBy("var", "bin", hi.alias("hi")).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("pos"))
-    merge = lambda pdf: _merge_bins(pdf, min_total, min_class, stop_limit)
-    bins = counts.groupBy("var").applyInPandas(merge, "var string, bin int, is_missing boolean, hi double, n long, pos long, woe double, iv double")
+    counts = binned.groupBy("var", "bin", hi.alias("hi")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.col(target).cast("long")), F.lit(0)).cast("long").alias("pos")
+    )
+    listed = counts.groupBy("var").agg(  # at most steps + 1 counts per column
+        F.sum("n").alias("_n"), F.sum("pos").alias("_pos"), F.array_sort(F.collect_list(F.struct("bin", "hi", "n", "pos"))).alias("_all")
+    )
+    of = lambda cond: F.transform(F.filter("_all", cond), lambda b: F.struct(b["hi"].alias("hi"), b["n"].alias("n"), b["pos"].alias("pos")))
+    step = lambda bs, _: _merge_step(bs, min_total, min_class, stop_limit)
+    known = listed.withColumns({"_missing": of(lambda b: b["bin"] < 0), "_known": of(lambda b: b["bin"] >= 0)}).withColumn(
+        "_known", F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("_known"), F.lit(1))), F.col("_known"), step)
+    )
+    rows = known.select("var", "_n", "_pos", F.size("_known").alias("_size"), F.posexplode(F.concat("_known", "_missing")).alias("bin", "b"))
+    woe, iv = _evidence(F.col("b.n"), F.col("b.pos"))
+    bins = rows.select(
+        "var", "bin", (F.col("bin") >= F.col("_size")).alias("is_missing"), F.when(F.col("bin") < F.col("_size") - 1, F.col("b.hi")).alias("hi"),
+        "b.n", "b.pos", woe.alias("woe"), F.sum(iv).over(Window.partitionBy("var")).alias("iv"),
+    )
     return cut_lineage(bins)
 
 

@@ -16,25 +16,66 @@ from skyloom.streaming import streams as sm
 
 def risk(t):
     late = (F.col("l_quantity") + F.col("l_discount") * 300 + (F.col("l_suppkey") % 7) * 4 > 45).cast("int")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice", late.alias("y"))
+    tax = F.nullif("l_tax", F.lit(0.03))  # some values are missing
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", tax.alias("l_tax"), "l_extendedprice", late.alias("y"))
 
 
 COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
+# neighbouring bins merge row by row of a recursion: one merge per variable and level, the last level of a variable counts
+_PROBS = "[" + ", ".join(f"{i / 20!r}::DOUBLE" for i in range(1, 20)) + "]"
+_P, _Q = "greatest({pos}, 0.5::DOUBLE) / greatest(ap, 1)", "greatest({n} - {pos}, 0.5::DOUBLE) / greatest(an - ap, 1)"
 
-@query("ml_01_woe_fit")
+
+def _woe(n, pos):
+    return f"ln(({_P.format(pos=pos)}) / ({_Q.format(n=n, pos=pos)}))"
+
+
+def _iv(n, pos):
+    return f"(({_P.format(pos=pos)}) - ({_Q.format(n=n, pos=pos)})) * {_woe(n, pos)}"
+
+
+WOE = f"""risk AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, CASE WHEN l_tax <> 0.03::DOUBLE THEN l_tax END AS l_tax, l_extendedprice,
+  CASE WHEN l_quantity + l_discount * 300 + (l_suppkey % 7) * 4 > 45 THEN 1 ELSE 0 END AS y FROM lineitem),
+ long AS ({' UNION ALL '.join(f"SELECT '{c}' AS var, {c} AS x, y FROM risk" for c in COLS)}),
+ edges AS (SELECT var, list_sort(list_distinct(quantile_cont(x, {_PROBS}))) AS e FROM long WHERE x IS NOT NULL GROUP BY 1),
+ placed AS (SELECT var, e, y, CASE WHEN x IS NULL THEN -1 ELSE len([v FOR v IN e IF v < x]) END AS bin FROM long JOIN edges USING (var)),
+ counts AS (SELECT var, bin, CASE WHEN bin >= 0 THEN any_value(e)[bin + 1] END AS hi, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos FROM placed GROUP BY 1, 2),
+ sizes AS (SELECT var, CAST(sum(n) AS BIGINT) AS an, CAST(sum(pos) AS BIGINT) AS ap FROM counts GROUP BY 1),
+ merge(var, level, bin, hi, n, pos, an, ap) AS (SELECT var, 0, bin, hi, n, pos, an, ap FROM counts JOIN sizes USING (var) WHERE bin >= 0
+  UNION ALL SELECT var, level + 1, bin, CASE WHEN k = pick THEN hi2 ELSE hi END, CASE WHEN k = pick THEN n + n2 ELSE n END, CASE WHEN k = pick THEN pos + pos2 ELSE pos END, an, ap
+  FROM (SELECT *, first_value(k) OVER best AS pick, first_value(cost) OVER best AS least FROM
+   (SELECT *, CASE WHEN n2 IS NULL THEN NULL WHEN bad IS NULL THEN round(iv + iv2 - {_iv('(n + n2)', '(pos + pos2)')}, 12) WHEN k IN (bad, bad - 1) THEN round(abs(woe - woe2), 12) END AS cost FROM
+    (SELECT *, count(*) OVER v AS c, sum(iv) OVER v AS total, min(CASE WHEN small THEN k END) OVER v AS bad, lead(woe) OVER o AS woe2, lead(iv) OVER o AS iv2 FROM
+     (SELECT *, {_woe('n', 'pos')} AS woe, {_iv('n', 'pos')} AS iv, n < 0.05::DOUBLE * an OR pos < 0.001::DOUBLE * ap OR n - pos < 0.001::DOUBLE * (an - ap) AS small,
+       row_number() OVER o AS k, lead(hi) OVER o AS hi2, lead(n) OVER o AS n2, lead(pos) OVER o AS pos2 FROM merge WINDOW o AS (PARTITION BY var ORDER BY bin)) a
+     WINDOW v AS (PARTITION BY var), o AS (PARTITION BY var ORDER BY bin)) b) d
+   WINDOW best AS (PARTITION BY var ORDER BY cost NULLS LAST, k)) f
+  WHERE c > 1 AND k <> pick + 1 AND (bad IS NOT NULL OR (c > 2 AND total > 0 AND least <= 0.1::DOUBLE * total))),
+ final AS (SELECT var, CAST(row_number() OVER (PARTITION BY var ORDER BY bin) - 1 AS INTEGER) AS bin, false AS is_missing, CASE WHEN lead(bin) OVER (PARTITION BY var ORDER BY bin) IS NOT NULL THEN hi END AS hi, n, pos, an, ap
+   FROM (SELECT * FROM merge QUALIFY level = max(level) OVER (PARTITION BY var))),
+ every AS (SELECT * FROM final UNION ALL SELECT var, (SELECT CAST(count(*) AS INTEGER) FROM final f WHERE f.var = c.var), true, NULL, n, pos, an, ap FROM counts c JOIN sizes USING (var) WHERE bin < 0),
+ bins AS (SELECT var, bin, is_missing, hi, n, pos, {_woe('n', 'pos')} AS woe, sum({_iv('n', 'pos')}) OVER (PARTITION BY var) AS iv FROM every)"""
+
+
+def _coded(c):
+    """The evidence of the bin that a row's value falls into."""
+    return f"LEFT JOIN LATERAL (SELECT woe FROM bins b WHERE b.var = '{c}' AND CASE WHEN r.{c} IS NULL THEN is_missing ELSE NOT is_missing AND (hi IS NULL OR r.{c} <= hi) END ORDER BY bin LIMIT 1) w_{c} ON true"
+
+
+@query("ml_01_woe_fit", f"WITH RECURSIVE {WOE} SELECT var, bin, is_missing, round(hi, 6) AS hi, n, pos, round(woe, 6) AS woe, round(iv, 6) AS iv FROM bins")
 def woe_fit(t):
     return rounded(md.woe_fit(risk(t), "y", COLS))
 
 
-@query("ml_01_woe_apply")
+@query("ml_01_woe_apply", f"WITH RECURSIVE {WOE} SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'round(w_{c}.woe, 6) AS {c}_woe' for c in COLS)} FROM risk r {' '.join(_coded(c) for c in COLS)}")
 def woe_apply(t):
     df = risk(t)
     bins = md.woe_fit(df, "y", COLS)
     return rounded(md.woe_apply(df, bins, COLS).select("l_orderkey", "l_linenumber", "l_partkey", *[f"{c}_woe" for c in COLS]))
 
 
-@query("ml_01_woe_select")
+@query("ml_01_woe_select", f"WITH RECURSIVE {WOE} SELECT DISTINCT var, round(iv, 6) AS iv FROM bins WHERE iv >= 0.4")
 def woe_select(t):
     return rounded(md.woe_select(md.woe_fit(risk(t), "y", COLS), 0.4))
 

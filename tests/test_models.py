@@ -65,6 +65,62 @@ def test_woe_bins_separate_and_cover(spark):
     assert sorted(counts) == sorted(bins[bins["var"] == "x"]["n"].tolist())
 
 
+def plain_bins(x, y, min_total, min_class, stop_limit):
+    """The rule of the bins, one variable at a time: [(hi, n, pos)], the missing values last."""
+    known = ~np.isnan(x)
+    edges = np.unique(np.quantile(x[known], [i / round(1 / min_total) for i in range(1, round(1 / min_total))]))
+    place = np.searchsorted(edges, x[known], side="left")
+    rows = [[edges[b] if b < len(edges) else np.nan, (place == b).sum(), y[known][place == b].sum()] for b in np.unique(place)]
+    n, pos = len(y), y.sum()
+
+    def woe(r):
+        return np.log((max(r[2], 0.5) / pos) / (max(r[1] - r[2], 0.5) / (n - pos)))
+
+    def iv(r):
+        return (max(r[2], 0.5) / pos - max(r[1] - r[2], 0.5) / (n - pos)) * woe(r)
+
+    def merged(rs, i):
+        return rs[:i] + [[rs[i + 1][0], rs[i][1] + rs[i + 1][1], rs[i][2] + rs[i + 1][2]]] + rs[i + 2:]
+
+    while len(rows) > 1:
+        bad = [i for i, r in enumerate(rows) if r[1] < min_total * n or r[2] < min_class * pos or r[1] - r[2] < min_class * (n - pos)]
+        if bad:
+            sides = [i for i in (bad[0] - 1, bad[0]) if 0 <= i < len(rows) - 1]
+            rows = merged(rows, min(sides, key=lambda i: round(abs(woe(rows[i]) - woe(rows[i + 1])), 12)))
+            continue
+        before = sum(map(iv, rows))
+        best = max((merged(rows, i) for i in range(len(rows) - 1)), key=lambda rs: round(sum(map(iv, rs)), 12))
+        if len(rows) <= 2 or before - sum(map(iv, best)) > stop_limit * before:
+            break
+        rows = best
+    rows[-1][0] = np.nan
+    return rows + ([[np.nan, (~known).sum(), y[~known].sum()]] if (~known).any() else [])
+
+
+@pytest.mark.parametrize("limits", [(0.05, 0.001, 0.1), (0.1, 0.05, 0.02), (0.02, 0.2, 0.3)])
+def test_woe_bins_against_the_plain_rule(spark, limits):
+    rng = np.random.default_rng(7)
+    n = 2000
+    cols = {"even": rng.random(n), "whole": rng.integers(0, 6, n) * 1.0, "skewed": rng.exponential(1, n) ** 3, "hot": np.where(rng.random(n) < 0.7, 1.0, rng.random(n))}
+    y = (cols["skewed"] + cols["whole"] * rng.random(n) > 3).astype(int)
+    cols["whole"][rng.random(n) < 0.08] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({**cols, "y": y})).repartition(5)
+    got = md.woe_fit(df, "y", list(cols), *limits).toPandas().sort_values(["var", "bin"])
+    for c, x in cols.items():
+        own, want = got[got["var"] == c], plain_bins(x, y, *limits)
+        assert own[["n", "pos"]].to_numpy().tolist() == [[r[1], r[2]] for r in want]
+        assert np.allclose(own["hi"].astype(float), [r[0] for r in want], equal_nan=True)
+        assert own["is_missing"].tolist() == [False] * (len(want) - np.isnan(x).any()) + [True] * int(np.isnan(x).any())
+
+
+def test_woe_of_columns_without_values(spark):
+    df = spark.createDataFrame([(None, 1.0, i % 2) for i in range(10)], "gone double, same double, y int")
+    bins = {r["var"]: r for r in md.woe_fit(df, "y", ["gone", "same"]).collect()}
+    assert (bins["gone"]["is_missing"], bins["gone"]["n"], bins["gone"]["pos"]) == (True, 10, 5)
+    assert (bins["same"]["is_missing"], bins["same"]["hi"], bins["same"]["n"]) == (False, None, 10)
+    assert md.woe_fit(df.where("y > 5"), "y", ["gone", "same"]).count() == 0
+
+
 def test_logistic_on_woe(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(0, 1, 800)
@@ -118,7 +174,7 @@ def test_worker_functions_need_no_package(tmp_path):
     from pyspark import cloudpickle
 
     blob = tmp_path / "f.pkl"
-    blob.write_bytes(cloudpickle.dumps(md._merge_bins))
+    blob.write_bytes(cloudpickle.dumps(md.score))
     code = f"import pickle; print(pickle.load(open({str(blob)!r}, 'rb')).__name__)"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert out.stdout.strip().endswith("_merge_bins"), out.stderr
+    assert out.stdout.strip().endswith("score"), out.stderr
