@@ -200,6 +200,29 @@ def resample_stream_week(t):
     return rounded(sm.run_to_end(out, f"{base}/out", f"{base}/state"))
 
 
+_DAYS = "FROM (SELECT *, date_trunc('day', datetime) AS day FROM obs) o WHERE day + INTERVAL 1 DAY <= (SELECT max(datetime) - INTERVAL 2 DAY FROM obs) GROUP BY 1, 2"
+
+
+def _day_stream(t, ops):
+    schema = t.spark.read.parquet(f"{t.root}/events.parquet").schema
+    events = sm.read_stream(t.spark, t.root, schema, glob="events.parquet")
+    obs = events.select((F.col("user_id") % 5).cast("string").alias("stationid"), F.col("ts").alias("datetime"), F.col("value").alias("precip"), "event_type")
+    base = scratch_path(t.spark, "stream")
+    return rounded(sm.run_to_end(sm.resample_stream(obs, "1d", ops, "2 days"), f"{base}/out", f"{base}/state"))
+
+
+@query("str_01_resample_stream_n_unique", f"""WITH obs AS (SELECT CAST(user_id % 5 AS VARCHAR) AS stationid, ts AS datetime, value AS precip, event_type FROM events)
+SELECT stationid, CAST(day AS TIMESTAMP) AS datetime, count(DISTINCT precip) AS precip_n_unique, count(DISTINCT event_type) AS event_type_n_unique, count(event_type) AS event_type_count {_DAYS}""")
+def resample_stream_n_unique(t):
+    return _day_stream(t, {"precip": ["n_unique"], "event_type": ["n_unique", "count"]})
+
+
+@query("str_01_resample_stream_median", f"""WITH obs AS (SELECT CAST(user_id % 5 AS VARCHAR) AS stationid, ts AS datetime, value AS precip FROM events)
+SELECT stationid, CAST(day AS TIMESTAMP) AS datetime, round(median(precip), 6) AS precip_median, round(avg(precip), 6) AS precip_mean {_DAYS}""")
+def resample_stream_median(t):
+    return _day_stream(t, {"precip": ["median", "mean"]})
+
+
 @query("str_02_sliding_clips", """WITH c AS (SELECT user_id, value, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 5 HOUR, ts, INTERVAL 1 HOUR)) AS clip_start FROM events)
 SELECT user_id, clip_start, clip_start + INTERVAL 6 HOUR AS clip_end, round(avg(value), 6) AS value_mean, max(value) AS value_max, count(*) AS n FROM c GROUP BY 1, 2""")
 def clips(t):

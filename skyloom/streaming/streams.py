@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from skyloom.functions.calendar import period_seconds
 from skyloom.operators.resample import OPS, check_ops
@@ -19,19 +19,34 @@ def read_stream(spark: SparkSession, directory: str, schema: T.StructType, fmt:
     return zoned_times(reader.load(directory))
 
 
+def _n_unique(c: str, is_float: bool) -> Column:
+    """Distinct values without nulls; the two zeros are one value, and so are all that are not a number."""
+    if not is_float:
+        return F.size(F.collect_set(c)).cast("long")
+    numbers = F.size(F.collect_set(F.when(~F.isnan(c), F.col(c) + F.lit(0.0))))
+    return (numbers + F.coalesce(F.max(F.isnan(c).cast("int")), F.lit(0))).cast("long")
+
+
+def _median(c: str, is_float: bool) -> Column:
+    """Exact median of the values that are numbers, from a count per distinct value."""
+    return F.percentile(F.when(~F.isnan(c), F.col(c)) if is_float else F.col(c), 0.5)
+
+
 def resample_stream(sdf: DataFrame, period: str, agg_map: Mapping[str, Sequence[str]], delay: str = "2 days",
                     group_col: str = "stationid", datetime_col: str = "datetime") -> DataFrame:
     """Tumbling-period summaries per group; a period is final once the watermark has passed its end.
 
-    State is one small aggregate per open (group, period). Medians are approximate; ``n_unique`` has no streaming form.
+    All operations of the batch form, with the same results. State is one small aggregate per open (group, period); with
+    ``n_unique`` or ``median`` it also holds the distinct values of that period (and how often each occurs), until the
+    period is final: choose periods whose distinct values fit a task.
     """
     check_ops(agg_map)
-    if any(op == "n_unique" for ops in agg_map.values() for op in ops):
-        raise ValueError("n_unique cannot be kept on a stream")
+    kept = {"n_unique": _n_unique, "median": _median}
+    floats = {f.name for f in sdf.schema.fields if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType)}
     made = []
     for c, ops in agg_map.items():
         for op in ops:
-            value = F.percentile_approx(c, 0.5) if op == "median" else OPS[op](c, datetime_col)
+            value = kept[op](c, c in floats) if op in kept else OPS[op](c, datetime_col)
             made.append(value.alias(f"{c}_{op}"))
     seconds = period_seconds(period)
     start = "4 days" if seconds % 604_800 == 0 else "0 seconds"  # weeks from Monday, as in batches
