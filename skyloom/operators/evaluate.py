@@ -26,12 +26,28 @@ def pair_counts(df: DataFrame, actual: str, predicted: str, by: Sequence[str] =
     return df.groupBy(*by, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str, errors_only: bool = False) -> DataFrame:
-    """Count of every (actual, predicted) pair over all labels, zeros included."""
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, errors_only: bool = False, labels: Sequence | None = None,
+                     all_pairs: bool = True) -> DataFrame:
+    """Count of every (actual, predicted) pair, zeros included.
+
+    The pairs are those of the given ``labels``, and rows with another label, or none, are left out. Without them all
+    labels of the data are paired, which is for few labels: with many, ``all_pairs=False`` gives the pairs that occur,
+    and no list of labels is made. ``errors_only`` counts hits as zero, or leaves them out where only seen pairs come.
+    """
+    if labels is not None:
+        wanted = list(dict.fromkeys(labels))
+        df = df.where(F.col(actual).isin(wanted) & F.col(predicted).isin(wanted))
     counts = pair_counts(df, actual, predicted)
-    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("l")).agg(F.sort_array(F.collect_set("l")).alias("labels"))
-    every = labels.select("labels", F.explode("labels").alias("actual")).select("actual", F.explode("labels").alias("predicted"))
-    shown = counts.where(F.col("actual") != F.col("predicted")) if errors_only else counts
+    shown = counts.where(~F.col("actual").eqNullSafe(F.col("predicted"))) if errors_only else counts
+    if not all_pairs:
+        return shown
+    if labels is not None:
+        kind = df.schema[actual].dataType.simpleString()
+        listed = df.sparkSession.range(1).select(F.array(*[F.lit(x) for x in wanted]).cast(f"array<{kind}>").alias("labels"))
+    else:
+        seen = counts.select(F.explode(F.array("actual", "predicted")).alias("l"))
+        listed = seen.agg(F.sort_array(F.collect_set("l")).alias("labels"))
+    every = listed.select("labels", F.explode("labels").alias("actual")).select("actual", F.explode("labels").alias("predicted"))
     return every.join(shown, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -102,6 +102,13 @@ def seeded_shuffle(df: DataFrame, id_cols: Sequence[str], seed: int) -> DataFram
     return df.orderBy(seeded_hash(id_cols, seed), *id_cols)
 
 
+def seeded_positions(df: DataFrame, id_cols: Sequence[str], seed: int, name: str = "pos") -> DataFrame:
+    """Every row with its place (from 1) in the order of ``seeded_shuffle``; places come from sliced counts of the hash,
+    so nothing is sorted as a whole. Sort by them at the sink, if at all."""
+    hashed = df.withColumn("_h", seeded_hash(id_cols, seed))
+    return with_ordinal(hashed, [], ["_h", *id_cols], hash_slices("_h"), name).drop("_h")
+
+
 def seeded_hash(id_cols: Sequence[str], seed: int):
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
 

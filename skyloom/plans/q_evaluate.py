@@ -25,6 +25,27 @@ def misclassification(t):
     return ev.confusion_matrix(t.pred, "actual", "predicted", errors_only=True)
 
 
+@query("ev_01_confusion_seen_pairs", "SELECT l_partkey AS actual, l_suppkey AS predicted, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def confusion_seen(t):
+    """Thousands of labels: only the pairs that occur."""
+    return ev.confusion_matrix(t.lineitem.select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey", all_pairs=False)
+
+
+@query("ev_04_misclassification_seen_pairs", "SELECT l_partkey AS actual, l_suppkey AS predicted, count(*) AS n FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
+def misclassification_seen(t):
+    return ev.confusion_matrix(t.lineitem.select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey", errors_only=True, all_pairs=False)
+
+
+_GIVEN = "(VALUES (0), (1), (2), (99)) l(v)"
+
+
+@query("ev_01_confusion_given_labels", f"""WITH {PRED}, c AS (SELECT actual, predicted, count(*) AS n FROM pred GROUP BY 1, 2), l AS (SELECT v FROM {_GIVEN})
+SELECT a.v AS actual, b.v AS predicted, coalesce(c.n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN c ON c.actual = a.v AND c.predicted = b.v""")
+def confusion_given(t):
+    df = t.pred.withColumns({c: F.col(c).cast("int") for c in ("actual", "predicted")})
+    return ev.confusion_matrix(df, "actual", "predicted", labels=[0, 1, 2, 99])
+
+
 def class_sql(by=""):
     g = f"{by}, " if by else ""
     match = f"p.{by} = k.{by} AND " if by else ""

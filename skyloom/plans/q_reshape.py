@@ -142,11 +142,7 @@ def rare(t):
 
 @query("st_05_seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '42')), doc_id) AS pos FROM documents")
 def shuffle(t):
-    from skyloom.slicing import hash_slices, with_ordinal
-
-    shuffled = rh.seeded_shuffle(t.documents.select("doc_id"), ["doc_id"], 42)
-    hashed = shuffled.withColumn("_h", rh.seeded_hash(["doc_id"], 42))
-    return with_ordinal(hashed, [], ["_h", "doc_id"], hash_slices("_h")).drop("_h")
+    return rh.seeded_positions(t.documents.select("doc_id"), ["doc_id"], 42)
 
 
 @query("st_06_natural_order", "SELECT p_partkey, p_brand FROM part ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT), p_brand")
