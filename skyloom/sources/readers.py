@@ -71,19 +71,26 @@ def observation_schema(spark: SparkSession, root: str, numeric: Sequence[str], i
 
 
 def _observation_lines(spark: SparkSession, root: str, listed: list[str] | None) -> DataFrame:
-    """Lines of the observation files with their file, station and the header of the file; the header line is left out."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _glob(listed)).text(root).select(
+    """Lines of the observation files, headers too, with their file, its block and station."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _glob(listed)).text(root).select(
         F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
         F.regexp_extract(F.col("_metadata.file_name"), STATION_FILE, 1).alias("stationid"),
     ).where("stationid != ''")
-    # the first line of a file is the first row of its first block
-    heads = lines.where("_block = 0").withColumn("_row", F.monotonically_increasing_id()).groupBy("_path").agg(F.min_by("_line", "_row").alias("_head"))
-    return lines.join(heads, "_path").where(F.col("_line") != F.col("_head"))
 
 
 def _parsed(spark: SparkSession, root: str, schema: T.StructType, ids) -> DataFrame:
+    """Lines below the headers with their cells.
+
+    Headers are read first, on their own. Files of one layout, the usual case, are then parsed where they are read; only
+    files of several layouts are joined with their headers.
+    """
     listed = None if ids is None or isinstance(ids, DataFrame) else sorted({str(i) for i in ids})
     lines = _observation_lines(spark, root, listed)
+    # the first line of a file is the first row of its first block
+    heads = lines.where("_block = 0").withColumn("_row", F.monotonically_increasing_id()).groupBy("_path").agg(F.min_by("_line", "_row").alias("_head"))
+    layouts = [r["_head"] for r in heads.select("_head").distinct().collect()]
+    lines = lines.withColumn("_head", F.lit(layouts[0])) if len(layouts) == 1 else lines.join(heads, "_path")
+    lines = lines.where(F.col("_line") != F.col("_head"))
     if listed is not None:
         lines = lines.where(F.col("stationid").isin(listed))
     elif isinstance(ids, DataFrame):
@@ -91,15 +98,15 @@ def _parsed(spark: SparkSession, root: str, schema: T.StructType, ids) -> DataFr
     kinds = {f.name: f.dataType for f in schema.fields}
     empty = F.lit(None).cast(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]))
     found = empty
-    for row in lines.select("_head").distinct().collect():  # as many as there are layouts of files
-        names = [n.strip().strip('"') for n in (row["_head"] or "").lstrip("\ufeff").split(",")]
+    for head in sorted(layouts):
+        names = [n.strip().strip('"') for n in head.lstrip("\ufeff").split(",")]
         layout = T.StructType([T.StructField(f"c{i}", kinds.get(n, T.StringType())) for i, n in enumerate(names)] + [T.StructField("_bad", T.StringType())])
         cells = F.from_csv("_line", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in layout.fields), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
         place = {n: f"c{i}" for i, n in enumerate(names)}
         by_name = F.struct(*[
             (cells[place[f.name]] if f.name in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
         ], cells["_bad"].alias("_bad"))
-        found = F.when(F.col("_head") == row["_head"], by_name).otherwise(found)
+        found = F.when(F.col("_head") == head, by_name).otherwise(found)
     return lines.select("stationid", F.col("_path").alias("path"), F.col("_line").alias("line"), found.alias("cells"))
 
 
