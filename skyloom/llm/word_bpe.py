@@ -2,7 +2,8 @@
 
 Texts are cut at ASCII white space, which this kind of tokenizer drops, so chunks are independent. Chunks of plain
 Latin letters, digits and signs go straight to the merge model after the file's own normal form and pre-tokens, spelled
-out here for that alphabet; all others go through the whole tokenizer. Ids of a chunk are remembered per worker.
+out here for that alphabet; all others go through the whole tokenizer. Ids of chunks and pre-tokens are remembered per
+worker, in two ages: when the newer one is full it becomes the older one, and what is met again there moves back.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import sys
 import types
 from array import array
 
-REMEMBERED = 150_000  # chunks kept per worker
+REMEMBERED = 300_000  # chunks of an age; two ages are kept per worker, about 100 MB
 LONGEST_KEPT = 40  # bytes; longer chunks are encoded each time
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(rf"[!-~À-ÖØ-öø-ÿ]+")
@@ -39,29 +40,40 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters = self.tokenizer.model, "".join(_byte_letters())
         self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def ids_of(self, chunk: str) -> list[int]:
-        if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-            letters, merge = self.letters, self.model.tokenize
-            return [t.id for word in _PRE.findall(chunk.lower()) for t in merge("".join([letters[b] for b in word.encode()]))]
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+    def merged(self, letters: str) -> bytes:
+        return self.packed([t.id for t in self.model.tokenize(letters)])
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def coded(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters only: one pre-token of plain letters
-            found = self.packed([t.id for t in self.model.tokenize(chunk.lower().decode())])
-        elif chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
+            low = chunk.lower()
+            return self.merged(low.decode()) if low == chunk else self[low]
+        if chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
             return self[chunk[:-1]] + self[chunk[-1:]]  # two pre-tokens, and the first may be known
-        else:
-            found = self.packed(self.ids_of(chunk.decode()))
+        text = chunk.decode()
+        if not _PLAIN.fullmatch(text) or self.special.search(text):
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        words = [word.encode() for word in _PRE.findall(text.lower())]
+        if len(words) > 1:  # a pre-token alone is one pre-token again
+            return b"".join([self[word] for word in words])
+        return self.merged(words[0].decode("latin-1").translate(self.letters))
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.coded(chunk)
         if len(chunk) <= LONGEST_KEPT:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = found
         return found

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm import cutting_stock, packing
+from skyloom.llm import cutting_stock, packing, word_bpe
 from skyloom.llm.queries import tokenizer_path
 from skyloom.llm.word_bpe import ChunkEncoder
 
@@ -26,6 +26,18 @@ def test_ids_are_the_tokenizers(coder):
         assert got == coder.tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_words_met_again_are_not_merged_again(monkeypatch):
+    """However many others come between, in capitals and next to signs."""
+    monkeypatch.setattr(word_bpe, "REMEMBERED", 12)
+    coder, merged = ChunkEncoder(WORDS), []
+    model = coder.model
+    coder.model = type("Model", (), {"tokenize": staticmethod(lambda word: merged.append(word) or model.tokenize(word))})
+    for k in range(40):
+        text = f"thorined Thorined THORINED, thorined!! (thorined) s'thorined {'abcdefghij'[k % 10] * (k // 10 + 2)}"
+        assert np.frombuffer(coder.encode(text.encode()), coder.dtype).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [merged.count(w) for w in ("thorined", "!!", "(", "s")] == [1, 1, 1, 1] and len(coder) + len(coder.older) <= 24
+
+
 def whole(rows, docs, coder, length):
     """Every id in one piece, sequences gapless; gives the tokens of padding."""
     by_doc, by_sequence = {}, {}
