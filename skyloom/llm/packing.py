@@ -116,7 +116,9 @@ def pieces(sizes: DataFrame, length: int = LENGTH, width: int = CLASS, least_fil
     segments, sequences = _places(plan(demand, length // width, least_fill))
 
     ranked = with_ordinal(rests.where("class > 0"), ["class"], ["row"], [_part()], "rank")
-    table = spark.createDataFrame(segments, "class int, lo long, hi long, first long, places long")
+    kinds = pa.schema([("class", pa.int32()), *((c, pa.int64()) for c in ("lo", "hi", "first", "places"))])
+    columns = [pa.array(x, f.type) for x, f in zip(zip(*segments), kinds)] or [pa.array([], f.type) for f in kinds]
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds))  # rows of Python would take workers of their own
     at = F.col("rank") - 1
     joined = ranked.join(F.broadcast(table), (ranked["class"] == table["class"]) & (at >= F.col("lo")) & (at < F.col("hi")), "left")
     taken = stored(joined.select(

@@ -52,14 +52,14 @@ class Classifier:
 
 
 def evidence(text: Column, model: Classifier) -> Column:
-    """Log-odds beyond the base rate."""
+    """Log-odds beyond the base rate, never null: else a filter on it tests it below the joins, and all texts are scored twice."""
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         found = np.array([style(t.as_py()) for t in texts], np.float64).reshape(-1, SIZE)
         return pa.array(found @ np.array(model.weights) + model.bias)
 
-    return score(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.coalesce(score(F.coalesce(text, F.lit("")).cast("binary")), F.lit(0.0))
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> Classifier:

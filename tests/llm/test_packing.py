@@ -110,3 +110,11 @@ def test_linear_program_is_near_its_bound():
     taken = sum(counts * times for counts, times in cutting_stock.plan(demand, 64, 0.99))
     assert (taken <= demand).all()
     assert cutting_stock.plan(np.zeros(5, int), 8, 0.9) == []
+
+
+def test_patterns_take_no_worker_of_their_own(spark, monkeypatch):
+    """Rows of Python objects are read by a second kind of worker, which stays in each executor's memory."""
+    plans, stored = [], packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
+    packing.pieces(stored(spark.range(3000).selectExpr("id AS row", "id % 700 + 1 AS n")))
+    assert any("LocalRelation" in p for p in plans) and not any("LogicalRDD" in p for p in plans)

@@ -173,3 +173,8 @@ def test_one_document_more_changes_no_domain_into_absent(spark):
 def test_report(spark, docs, labels):
     rows = {r.domain: r for r in mixing.mixing_report(docs, labels, LANGUAGE_WEIGHTS).collect()}
     assert set(rows) == set(LANGUAGE_WEIGHTS) and all(r.met and abs(r.shortfall - (r.target - r.total)) < 1e-6 for r in rows.values())
+
+
+def test_texts_kept_are_scored_once(docs, labels):
+    plan = quality.accepted(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
