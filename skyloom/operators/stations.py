@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyloom.functions.geo import EARTH_KM, EARTH_MILES, bearing, degree_distance, haversine, width_bin
+from skyloom.functions.geo import EARTH_KM, EARTH_MILES, bearing, degree_distance, half_chord_square, haversine, width_bin
 
 logger = logging.getLogger(__name__)
 
@@ -126,48 +126,152 @@ def _cells(lat_cell: float, band: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / lat_cell)).cast("int")
 
 
-def station_pairs(stations: DataFrame, radius: float, unit: str = "km", targets: DataFrame | None = None) -> DataFrame:
+#: Fixed value: cells across a radius. More of them leave fewer pairs to measure, and copy each target to more cells.
+CUT = 3
+#: Parts of the targets for each task that runs at once, at least, and targets of a part, about, at most.
+TASKS, TARGETS = 8, 256
+#: Fixed value: rows of stations up to which they are sent to all targets (about 50 MB), which then stay in their parts.
+SENT = 500_000
+#: Distances this close count as equal where only the nearest are wanted, and at most so many halvings of cells.
+TIE = 1e-5
+HALVINGS = 24
+
+
+def _flat_cells(radius: float, reach: Column | float, level: Column | None = None):
+    """Band and place of a point, and the lists of bands and places that a circle of ``reach`` touches, on a flat map.
+
+    Cells are ``radius`` wide, halved ``level`` times.
+    """
+    scale = F.lit(1.0) if level is None else F.pow(F.lit(2.0), level)
+    at = lambda x: F.floor(x / radius * scale)
+    reach = reach if isinstance(reach, Column) else F.lit(reach)
+    pad = lambda lat, lon: reach * (1 + 1e-9) + (F.abs(lat) + F.abs(lon) + 1) * 1e-15  # over the rounding of what follows
+
+    def places(lat, lon, band):
+        away = F.greatest(F.lit(0.0), band / scale * radius - lat, lat - (band + 1) / scale * radius)
+        half = F.sqrt(F.greatest(F.lit(0.0), F.pow(pad(lat, lon), 2) - F.pow(away, 2))) + (F.abs(lon) + 1) * 1e-15
+        return F.sequence(at(lon - half), at(lon + half))
+
+    return at, lambda lat, lon: F.sequence(at(lat - pad(lat, lon)), at(lat + pad(lat, lon))), places
+
+
+def _globe_cells(radius: float):
+    """The same on the globe for ``radius`` in km: bands of a ``CUT``-th of the radius, cut into cells about as wide."""
+    turn = radius / EARTH_KM * 1.0001 + 1e-7  # over the rounding of what follows
+    size = math.degrees(turn) / CUT
+    count = lambda band: _cells(size, band)
+    place = lambda lon, n: F.floor((lon + 180) / 360 * n).cast("long")
+    band_of = lambda lat: F.floor(lat / size)
+
+    def places(lat, lon, band):
+        n = count(band)
+        every = F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+        if turn > 1.5:  # a quarter of the globe
+            return every
+        # within the band the circle is widest at this latitude, or as close to it as the band comes
+        widest = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(F.radians(lat)) / math.cos(turn)))))
+        p, q = F.radians(lat), F.radians(F.greatest(band * size, F.least((band + 1) * size, widest)))
+        cosine = (math.cos(turn) - F.sin(p) * F.sin(q)) / F.greatest(F.cos(p) * F.cos(q), F.lit(1e-300))
+        half = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))) + 1e-9
+        some = F.array_distinct(F.transform(F.sequence(place(lon - half, n), place(lon + half, n)), lambda c: F.pmod(c, n)))
+        return F.when((cosine <= -1) | (F.abs(lat) > 90), every).otherwise(some)
+
+    return (
+        lambda lat, lon: (band_of(lat), F.pmod(place(lon, count(band_of(lat))), count(band_of(lat)))),
+        lambda lat, lon: F.sequence(band_of(lat - math.degrees(turn)), band_of(lat + math.degrees(turn))),
+        places,
+    )
+
+
+def _spread(tgt: DataFrame, rows: int) -> DataFrame:
+    """Targets in parts by id. A small file is one task, its pairs are not; few targets in a part leave few pairs to sort."""
+    spark = tgt.sparkSession
+    at_once = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return tgt.repartition(max(TASKS * at_once, math.ceil(rows / TARGETS)), "tgt_stid")
+
+
+def station_pairs(
+    stations: DataFrame, radius: float, unit: str = "km", targets: DataFrame | None = None, nearest: int | None = None,
+    most: int | None = None,
+) -> DataFrame:
     """(tgt_stid, feat_stid, distance, bearing) of all stations within ``radius``, a station being its own neighbour.
 
     ``unit`` is ``km`` (great circle, ``<=``) or ``degree`` (flat, ``<``). Points meet through grid cells: a target is
-    copied to the cells its circle touches, joined on the cell, then the exact distance decides.
+    copied to the cells its circle touches, joined on the cell, then the exact distance decides. What depends on one of
+    the two stations only is computed before they meet. ``most`` is a bound of the number of stations, where to count
+    them is dear.
+
+    With ``nearest`` (for ``degree``) a target's pairs may be left out where at least so many others come before them by
+    distance, even by one rounded to ``TIE`` or finer, then ``feat_stid``: ``cap_per_target`` finds the same rows in
+    what remains, and the work does not grow with the number of stations within the radius.
     """
     if unit not in ("km", "degree"):
         raise ValueError("unit is 'km' or 'degree'")
     great = unit == "km"
-    size = math.degrees(radius / EARTH_KM) * 1.0001 if great else float(radius)
+    if nearest is not None and (great or nearest < 1):
+        raise ValueError("nearest is a positive number, for unit 'degree'")
     lat, lon = F.col("latitude"), F.col("longitude")
     points = stations.where(lat.isNotNull() & lon.isNotNull())
-    band = F.floor(lat / size).cast("int")
-    feats = points.select(
-        F.col("stid").alias("feat_stid"), lat.alias("f_lat"), lon.alias("f_lon"), band.alias("band"),
-        (F.pmod(F.floor((lon + 180) / 360 * _cells(size, band)), _cells(size, band)) if great else F.floor(lon / size)).cast("int").alias("cell"),
-    )
+    trig = lambda side: [f(F.radians(lat)).alias(f"{side}_{f.__name__}") for f in (F.sin, F.cos)]
+    feats = points.select(F.col("stid").alias("feat_stid"), lat.alias("f_lat"), lon.alias("f_lon"), *trig("f"))
     tgt = (targets if targets is not None else points).where(lat.isNotNull() & lon.isNotNull()).select(
-        F.col("stid").alias("tgt_stid"), lat.alias("t_lat"), lon.alias("t_lon")
+        F.col("stid").alias("tgt_stid"), lat.alias("t_lat"), lon.alias("t_lon"), *trig("t")
     )
-    here = F.floor(F.col("t_lat") / size).cast("int")
-    tgt = tgt.withColumn("band", F.explode(F.sequence(here - 1, here + 1)))
+    known = ["t_sin", "t_cos", "f_sin", "f_cos"]
+    if nearest is not None:
+        pairs = _nearest_candidates(feats, tgt, radius, nearest)
+    else:
+        if great:
+            cell, bands, places = _globe_cells(radius)
+        else:
+            at, bands, places = _flat_cells(radius / CUT, float(radius))
+            cell = lambda lat, lon: (at(lat), at(lon))
+        t, f = (F.col("t_lat"), F.col("t_lon")), (F.col("f_lat"), F.col("f_lon"))
+        most = stations.count() if most is None else most
+        tgt = _spread(tgt, most if targets is None else targets.count()).withColumn("band", F.explode(bands(*t)))
+        tgt = tgt.withColumn("cell", F.explode(places(*t, F.col("band"))))
+        feats = feats.withColumns(dict(zip(("band", "cell"), cell(*f))))
+        pairs = tgt.join(F.broadcast(feats) if most <= SENT else feats, ["band", "cell"])
+    at = ("t_lat", "t_lon", "f_lat", "f_lon")
     if great:
-        n = _cells(size, F.col("band"))
-        ratio = F.lit(math.sin(min(radius / EARTH_KM, math.pi / 2))) / F.greatest(F.cos(F.radians("t_lat")), F.lit(1e-9))
-        over_pole = F.abs("t_lat") + size >= 90
-        reach = F.when(over_pole | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.0001)
-        at = lambda x: F.floor((x + 180) / 360 * n).cast("int")
-        wide = F.sequence(at(F.col("t_lon") - reach), at(F.col("t_lon") + reach))
-        every = F.sequence(F.lit(0), n - 1)
-        cells = F.when(reach >= 180, every).otherwise(F.array_distinct(F.transform(wide, lambda c: F.pmod(c, n))))
-        tgt = tgt.withColumn("cell", F.explode(cells))
-        exact = haversine("t_lat", "t_lon", "f_lat", "f_lon", EARTH_KM)
+        distance = haversine(*at, EARTH_KM, cos1="t_cos", cos2="f_cos")
+        square, edge = half_chord_square(*at, "t_cos", "f_cos"), math.sin(min(radius / EARTH_KM, math.pi) / 2) ** 2
+        sure = lambda slack: square < edge * (1 + slack) + slack * 1e-6  # spares the exact distance away from the border
+        near = sure(-1e-9) | (sure(1e-9) & (distance <= radius))
     else:
-        mid = F.floor(F.col("t_lon") / size).cast("int")
-        tgt = tgt.withColumn("cell", F.explode(F.sequence(mid - 1, mid + 1)))
-        exact = degree_distance("t_lat", "t_lon", "f_lat", "f_lon")
-    pairs = tgt.join(feats, ["band", "cell"]).withColumn("distance", exact)
-    near = F.col("distance") <= radius if great else F.col("distance") < radius
-    return pairs.where(near).select(
-        "tgt_stid", "feat_stid", "distance", bearing("t_lat", "t_lon", "f_lat", "f_lon").alias("bearing")
-    )
+        distance = degree_distance(*at)
+        near = distance < radius
+    return pairs.where(near).select("tgt_stid", "feat_stid", distance.alias("distance"), bearing(*at, known).alias("bearing"))
+
+
+def _nearest_candidates(feats: DataFrame, tgt: DataFrame, radius: float, nearest: int) -> DataFrame:
+    """Targets with the stations that may be among their ``nearest`` ones.
+
+    The plane is cut into cells as wide as the radius, halved again and again. In the smallest cell around a target that
+    holds ``nearest`` stations, all are within the cell's diagonal, so the target needs no station beyond that. A small
+    cell has few such targets, and one at a crowded border looks at the cells next to it only: the work follows stations
+    times halvings, however they are spread. Of the stations at one place, the first ``nearest`` by id are enough.
+    """
+    deepest = max(0, min(HALVINGS, math.floor(math.log2(radius / TIE)))) if radius > 0 else 0
+    at, _, _ = _flat_cells(radius, radius, F.col("level"))
+    cells = lambda lat, lon: {"band": at(F.col(lat)), "cell": at(F.col(lon))}
+    levels = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
+    feats = cap_per_target(feats, ["f_lat", "f_lon"], ["feat_stid"], nearest)
+    at_levels = feats.withColumn("level", levels).withColumns(cells("f_lat", "f_lon"))
+    key = ["level", "band", "cell"]
+    full = at_levels.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= nearest).select(key)
+    spots = tgt.select("t_lat", "t_lon").distinct().withColumn("level", levels).withColumns(cells("t_lat", "t_lon"))
+    found = spots.join(full, key, "left_semi").groupBy("t_lat", "t_lon").agg(F.max("level").alias("level"))
+    tgt = tgt.join(found, ["t_lat", "t_lon"], "left")
+    diagonal = math.sqrt(2) * radius / F.pow(F.lit(2.0), F.col("level")) + 2 * TIE
+    tgt = tgt.withColumn("reach", F.least(F.lit(float(radius)), F.coalesce(diagonal, F.lit(float(radius)))))
+    tgt = tgt.withColumn("level", F.coalesce("level", F.lit(0)))
+    _, bands, places = _flat_cells(radius, F.col("reach"), F.col("level"))
+    t = F.col("t_lat"), F.col("t_lon")
+    tgt = tgt.withColumn("band", F.explode(bands(*t)))
+    tgt = tgt.withColumn("cell", F.explode(places(*t, F.col("band"))))
+    met = tgt.join(at_levels, key)
+    return met.where(degree_distance("t_lat", "t_lon", "f_lat", "f_lon") <= F.col("reach") * (1 + 1e-9))
 
 
 def add_buckets(pairs: DataFrame, distance_width: float = 0.5, bearing_width: float = 30.0) -> DataFrame:
@@ -198,7 +302,7 @@ def order_neighbours(df: DataFrame, distance_col: str = "distance", ties: Sequen
     return df.orderBy(F.col(distance_col).asc_nulls_first(), *ties)
 
 
-def cap_per_target(df: DataFrame, key: str, order: Sequence, k: int) -> DataFrame:
+def cap_per_target(df: DataFrame, key: str | Sequence[str], order: Sequence, k: int) -> DataFrame:
     """The first ``k`` neighbours of each target; the limit is applied before the shuffle as well."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")

@@ -121,8 +121,8 @@ def order(t):
 
 @query("st_07_cap_per_target", f"""WITH {DEG} SELECT tgt_stid, feat_stid FROM (SELECT *, row_number() OVER (PARTITION BY tgt_stid ORDER BY round(distance, 6), feat_stid) AS rn FROM pairs) WHERE rn <= 3""")
 def cap(t):
-    near = st.station_pairs(t.stations, 4.0, "degree")
-    return st.cap_per_target(near, "tgt_stid", [F.round("distance", 6), "feat_stid"], 3).select("tgt_stid", "feat_stid")
+    near = st.station_pairs(t.stations, 4.0, "degree", nearest=3)
+    return st.cap_per_target(near, "tgt_stid", [geo.rounded("distance", 6), "feat_stid"], 3).select("tgt_stid", "feat_stid")
 
 
 @query("pl_07_target_neighbour_list", f"""WITH {DEG}, own AS (SELECT CAST(l_suppkey AS VARCHAR) AS stid FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2),
