@@ -63,7 +63,8 @@ def nearest_point(t):
  {bear('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS bearing FROM stations a, stations b)
 SELECT tgt_stid, feat_stid, round(distance, 5) AS distance, round(bearing, 5) AS bearing FROM d WHERE distance <= 400""")
 def pairs_km(t):
-    return rounded(st.station_pairs(t.stations, 400.0), 5)
+    near = st.station_pairs(t.stations, 400.0)
+    return near.withColumns({c: geo.rounded(c, 5) for c in ("distance", "bearing")})
 
 
 DEG = f"""{STN}, near AS (SELECT a.stid AS tgt_stid, b.stid AS feat_stid, sqrt(pow(b.latitude - a.latitude, 2) + pow(b.longitude - a.longitude, 2)) AS distance,
