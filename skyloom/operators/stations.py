@@ -313,6 +313,7 @@ def target_neighbour_list(
     key: str = "stid", metric_col: str = "metric",
 ) -> DataFrame:
     """Neighbours of every target that own all metrics, with buckets and rank."""
-    pairs = add_buckets(station_pairs(stations, radius, "degree", targets))
-    complete = stations_with_all(metrics, key, metric_col, required).withColumnRenamed(key, "feat_stid")
-    return rank_neighbours(pairs.join(complete, "feat_stid", "left_semi"))
+    complete = stations_with_all(metrics, key, metric_col, required).withColumnRenamed(key, "stid")
+    known = stations.join(complete, "stid", "left_semi")  # before pairs are made of them
+    pairs = station_pairs(known, radius, "degree", stations if targets is None else targets, most=stations.count())
+    return rank_neighbours(add_buckets(pairs))
